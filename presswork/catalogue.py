@@ -230,14 +230,14 @@ def q_truncate(spark, sf):
     return articles(spark, sf).select("ord", tx.truncate(F.col("summary"), 120, False).alias("chars"), tx.truncate_words(tx.clean(F.col("summary"), False), 12).alias("words"))
 
 
-@query(rf"""WITH {_A} SELECT ord, len(regexp_extract_all(summary, '(?:^|[^\p{{L}}\p{{N}}_\p{{M}}])([A-Za-z][A-Za-z0-9''-]*)')) > len(regexp_extract_all(summary, '[\x{{4e00}}-\x{{9fff}}]')) AS english FROM a0""")
+@query(rf"""WITH {_A} SELECT ord, len(list_filter(regexp_extract_all(summary, '[\p{{L}}\p{{N}}_\p{{M}}]+'), lambda z: regexp_matches(z, '^[A-Za-z][A-Za-z0-9]*$'))) > len(regexp_extract_all(summary, '[\x{{4e00}}-\x{{9fff}}]')) AS english FROM a0""")
 def q_is_english(spark, sf):
     return articles(spark, sf).select("ord", tx.is_english(F.col("summary")).alias("english"))
 
 
 @query()
 def q_summary_pack(spark, sf):
-    return articles(spark, sf).select("ord", tx.pack_summary(F.col("summary"), False, "none").alias("packed"))
+    return articles(spark, sf).select("ord", tx.pack_summary(tx.clean(F.col("summary"), False), "none").alias("packed"))
 
 
 @query(rf"""WITH {_A} SELECT ord, len(regexp_extract_all(summary, '(?:then|nd)[^.,\n]*')) AS parts, list_filter({_list(_pairs("neg", 6))}, lambda t: contains(summary, t)

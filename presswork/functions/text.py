@@ -60,8 +60,8 @@ def truncate(text: Column, most: int, entities: bool = True) -> Column:
 _NOISE = [r"(?iU)责任编辑[:：]\s*\S+", r"(?iU)责编[:：]\s*\S+", r"(?iU)点击进入专题[:：]?.*$", r"(?iU)更多精彩内容.*$", r"(?iU)免责声明[:：].*$", r"(?iU)版权声明[:：].*$"]
 
 
-def strip_noise(summary: Column, entities: bool = True) -> Column:
-    own = clean(summary, entities)
+def strip_noise(cleaned: Column) -> Column:
+    own = cleaned
     for pattern in _NOISE:
         own = F.regexp_replace(own, pattern, "")
     return squeeze(own)
@@ -90,9 +90,12 @@ SUMMARY_CHARS, SUMMARY_WORDS = 180, 90
 NO_SUMMARY = "这条新闻的 RSS 摘要信息较少，当前仅能确认标题所述事件。建议打开原文查看完整背景和后续细节。"
 
 
-def pack_summary(summary: Column, entities: bool = True, fallback: str = NO_SUMMARY) -> Column:
-    """As many of the first three sentences as fit, the first always; hard caps; a fallback where nothing is left."""
-    own = strip_noise(summary, entities)
+def pack_summary(cleaned: Column, fallback: str = NO_SUMMARY) -> Column:
+    """As many of the first three sentences of a cleaned text as fit, the first always; hard caps; a fallback where nothing is left.
+
+    The text must be a column already: a Python function (for entities) can't stand within a higher-order one.
+    """
+    own = strip_noise(cleaned)
     parts = sentences(own)
     count = lambda s: F.size(words(s))
 

@@ -69,7 +69,7 @@ def unique_candidates(found: DataFrame) -> DataFrame:
 def items(found: DataFrame, keywords: Mapping[str, Sequence[str]], mode: F.Column | None = None) -> DataFrame:
     """Candidates with a link and their matched keywords; where the feed's mode is keyword, only those that match."""
     mode = F.lit("keyword") if mode is None else F.coalesce(mode, F.lit("keyword"))
-    matched = found.where("link <> ''").withColumn("matched_keywords", match_keywords(match_text(), keywords))
+    matched = found.where("link <> ''").withColumn("_text", match_text()).withColumn("matched_keywords", match_keywords(F.col("_text"), keywords)).drop("_text")
     return matched.where((mode != "keyword") | (F.size(F.map_keys("matched_keywords")) > 0))
 
 

@@ -80,9 +80,8 @@ def sections(items: DataFrame, config: ReportConfig, vocabulary: Vocabulary | No
 def theme_line(shown: DataFrame, vocabulary: Vocabulary | None = None) -> str:
     """One sentence on the sections of a digest."""
     v = vocabulary or default_vocabulary()
-    text = F.lower(tx.clean(F.concat_ws(" ", "title", "summary")))
-    main = F.col("section") != "quick_scan"
-    n = shown.agg(
+    text, main = F.col("_text"), F.col("section") != "quick_scan"
+    n = shown.withColumn("_text", F.lower(tx.clean(F.concat_ws(" ", "title", "summary")))).agg(
         F.count_if(main).alias("main"), F.count_if(~main).alias("quick"), F.count_if(F.col("section") == "market").alias("market"), F.count_if(main & contains_any(text, v["overseas_rate"])).alias("rates"), F.count_if(main & contains_any(text, v["policy"])).alias("policy")
     ).first()
     spread = "主线信号仍不够集中，建议重点扫读政策、市场与科技产业动态的后续变化。"
