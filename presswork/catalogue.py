@@ -20,6 +20,7 @@ from .functions import news as fn
 from .functions import text as tx
 from .functions.digest import Item, scored, with_match_texts
 from .functions.vocab import contains_any, count_terms, default_vocabulary, format_matched, match_keywords, matched_terms
+from .shared import where_computed
 from .operators import curation, digest, health, news, quotes, select, stories
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -419,8 +420,8 @@ def q_digest_sections(spark, sf):
 )
 def q_flagship(spark, sf):
     """Keyword gate, first of each title, section, at most three of a source, the best 25."""
-    a = gated(spark, sf).where(F.size(F.map_keys("matched_keywords")) > 0)
-    s = scored(a, VOCABULARY, CONFIG, False).where("section is not null").select("ord", "section", "source", "importance", "title_length", "published_at", F.md5(F.lower(tx.clean(F.col("title"), False))).alias("key"))
+    a = where_computed(gated(spark, sf), F.size(F.map_keys("matched_keywords")) > 0)
+    s = where_computed(scored(a, VOCABULARY, CONFIG, False), F.col("section").isNotNull()).select("ord", "section", "source", "importance", "title_length", "published_at", F.md5(F.lower(tx.clean(F.col("title"), False))).alias("key"))
     best = select.ranked(select.at_most(select.first_by(s, ["key"], [F.col("ord")]), ["source"], digest.order(), 3), digest.order(), 25)
     return best.select("ord", "section", "source", "importance", F.col("rank").cast("int").alias("rank"))
 
@@ -710,7 +711,7 @@ def q_projection_counts(spark, sf):
 
 @query()
 def q_fuzzy_pairs(spark, sf):
-    """Similar titles within a source: equal story keys, containment or a high ratio."""
+    """Titles of one source and the same first two characters that are similar: the query is defined by these blocks."""
     a = articles(spark, sf).select("ord", "source", tx.story_key(F.col("title")).alias("k")).where(F.length("k") >= 10)
     b = a.select(F.col("ord").alias("other"), F.col("source").alias("s2"), F.col("k").alias("k2"))
     # lengths bound the ratio: 2 * shorter / sum >= 0.88, so most pairs never reach Python

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,16 @@ class Item:
 
     vocabulary: Vocabulary
     config: ReportConfig = ReportConfig()
+    #: Signals that the frame has as columns already, so that what builds on them doesn't repeat them.
+    ready: frozenset[str] = frozenset()
+    _made: dict = field(default_factory=dict, compare=False)
+
+    def _once(self, name: str, make: Callable[[], Column]) -> Column:
+        if name in self.ready:
+            return F.col(f"_{name}")
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
 
     text = property(lambda self: F.col("_text"))
     title = property(lambda self: F.col("_title"))
@@ -50,16 +61,16 @@ class Item:
     role = property(lambda self: F.coalesce(F.col("feed_role"), F.lit("")))
 
     def n(self, name: str) -> Column:
-        return count_terms(self.text, self.vocabulary[name])
+        return self._once(f"n {name}", lambda: count_terms(self.text, self.vocabulary[name]))
 
     def nt(self, name: str) -> Column:
-        return count_terms(self.title, self.vocabulary[name])
+        return self._once(f"nt {name}", lambda: count_terms(self.title, self.vocabulary[name]))
 
     def has(self, name: str) -> Column:
-        return contains_any(self.text, self.vocabulary[name])
+        return self._once(f"has {name}", lambda: contains_any(self.text, self.vocabulary[name]))
 
     def has_t(self, name: str) -> Column:
-        return contains_any(self.title, self.vocabulary[name])
+        return self._once(f"has_t {name}", lambda: contains_any(self.title, self.vocabulary[name]))
 
     def tech(self) -> Column:
         return self.role.isin(*TECH_ROLES)
@@ -67,19 +78,31 @@ class Item:
     # -- signals
 
     def deal(self) -> Column:
+        return self._once("deal", self._make_deal)
+
+    def _make_deal(self) -> Column:
         return self.has_t("global_tech_deal") & (self.has_t("global_tech_deal_market") | billion_amount(self.raw_title))
 
     def concrete_event(self) -> Column:
+        return self._once("concrete_event", self._make_concrete_event)
+
+    def _make_concrete_event(self) -> Column:
         action = self.raw_title.rlike(_ACTION)
         backed = self.has_t("event_capital") | self.has_t("global_tech_backing")
         return self.deal() | (money_amount(self.raw_title) & (backed | action)) | (action & backed) | self.has_t("event_concrete")
 
     def discussion(self) -> Column:
+        return self._once("discussion", self._make_discussion)
+
+    def _make_discussion(self) -> Column:
         padded = F.concat(F.lit(" "), self.title, F.lit(" "))
         around = F.lower(F.concat_ws(" ", padded, *[F.coalesce(F.col(c), F.lit("")) for c in ("link", "source", "feed_name")]))
         return contains_any(around, self.vocabulary["discussion_format"]) | contains_any(padded, self.vocabulary["discussion_title"])
 
     def global_tech(self) -> Column:
+        return self._once("global_tech", self._make_global_tech)
+
+    def _make_global_tech(self) -> Column:
         """The first rule that applies decides."""
         hard = ("global_tech_capital", "global_tech_payment", "global_tech_regulatory", "global_tech_enterprise", "global_tech_platform", "global_tech_business_impact")
         any_of = lambda f, names: F.greatest(*[f(x) for x in names])
@@ -100,6 +123,9 @@ class Item:
         )
 
     def market(self) -> Column:
+        return self._once("market", self._make_market)
+
+    def _make_market(self) -> Column:
         strong = self.has("market_strong")
         return (
             F.when((self.has("local_promo") | self.has("policy_background")) & ~strong, False)
@@ -112,17 +138,26 @@ class Item:
         )
 
     def watch(self) -> Column:
+        return self._once("watch", self._make_watch)
+
+    def _make_watch(self) -> Column:
         when = self.has("watch")
         for pattern in self.vocabulary["watch_time"]:
             when = when | self.text.rlike(pattern)
         return ~self.has("policy_background") & ~(self.has("watch_past_activity") & ~self.has("watch_strong_future")) & when & self.has("watch_variable") & ~(self.has("product_or_consumer") & ~self.has("market_signal"))
 
     def core(self) -> Column:
+        return self._once("core", self._make_core)
+
+    def _make_core(self) -> Column:
         negative = contains_any(self.text, self.config.core_event_negative_patterns) & ~self.has("core_negative_overrides")
         low = self.has("core_low_importance") & ~self.has("core_low_importance_overrides")
         return ~negative & ~low & ~(self.tech() & ~self.global_tech()) & self.has("core_event")
 
     def industry(self) -> Column:
+        return self._once("industry", self._make_industry)
+
+    def _make_industry(self) -> Column:
         return self.has("policy") | self.has("industry") | self.has("global_tech_business")
 
     def low_value(self) -> Column:
@@ -132,6 +167,9 @@ class Item:
         return contains_any(self.context, self.config.quick_scan_low_value_patterns)
 
     def can_enter(self) -> Column:
+        return self._once("can_enter", self._make_can_enter)
+
+    def _make_can_enter(self) -> Column:
         special = self.role.isin("tech_industry", *TECH_ROLES)
         return ~self.low_value() & ~self.role.isin(*self.config.digest_exclude_roles) & (~special | self.industry() | self.market())
 
@@ -248,20 +286,34 @@ def _entities(title: Column) -> Column:
     return F.regexp_extract_all(title, F.lit(r"(?U)\b[A-Z][A-Za-z0-9.]{1,}\b"), F.lit(0))
 
 
+#: Signals in the order in which they build on one another.
+_STAGES = (("deal", "discussion"), ("concrete_event",), ("global_tech",), ("market", "watch", "core", "industry"), ("can_enter",))
+
+
+def with_signals(items: DataFrame, vocabulary: Vocabulary, config: ReportConfig = ReportConfig()) -> tuple[DataFrame, Item]:
+    """A frame of with_match_texts with its signals as columns, each computed once, and the item that reads them."""
+    own = Item(vocabulary, config)
+    for stage in _STAGES:
+        items = items.withColumns({f"_{name}": getattr(own, name)() for name in stage})
+        own = replace(own, ready=own.ready | set(stage), _made={k: v for k, v in own._made.items() if k not in stage})
+    return items, own
+
+
 def scored(items: DataFrame, vocabulary: Vocabulary | None = None, config: ReportConfig = ReportConfig(), entities: bool = True) -> DataFrame:
     """items with section, importance, title_length, quick_scannable and the keys of duplicate events: each computed once for all that follows."""
-    own = Item(vocabulary or default_vocabulary(), config)
+    frame, own = with_signals(with_match_texts(items, entities), vocabulary or default_vocabulary(), config)
+    frame = frame.withColumn("_normal", tx.normalized_title(F.col("title")))
     columns = {
         "section": own.section(),
         "importance": own.importance(),
-        "title_length": F.length(tx.normalized_title(F.col("title"))),
+        "title_length": F.length("_normal"),
         "quick_scannable": own.can_quick_scan(),
         "deal_key": own.deal_key(),
         "discussion_key": own.discussion_key(),
-        "title_key": F.replace(tx.normalized_title(F.col("title")), F.lit(" "), F.lit("")),
+        "title_key": F.replace(F.col("_normal"), F.lit(" "), F.lit("")),
         "source_key": tx.source_key(F.col("source"), F.col("feed_name")),
     }
-    return without_match_texts(with_match_texts(items, entities).withColumns(columns))
+    return frame.select(*items.columns, *[c.alias(n) for n, c in columns.items()])
 
 
 __all__ = ["Item", "distinct_terms", "scored", "with_match_texts", "without_match_texts"]

@@ -32,13 +32,21 @@ def vocabulary_frame(spark: SparkSession, vocabulary: Vocabulary | None = None)
     return spark.createDataFrame(rows, "vocab string, ord int, term string")
 
 
+_PART = "\x1f"
+
+
 def _terms(terms: Sequence[str]) -> Column:
-    return F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
+    """An array literal, once the optimizer has folded it; one literal is far quicker to build than one for each term."""
+    return F.split(F.lit(_PART.join(terms)), _PART) if terms else F.array().cast("array<string>")
 
 
 def matched_terms(lowered: Column, terms: Sequence[str]) -> Column:
     """The terms found in a text that is in lower case already, in their order, as often as they are listed."""
-    return F.filter(_terms(terms), lambda t: F.contains(lowered, F.lower(t)))
+    lower = [t.lower() for t in terms]
+    if lower == list(terms):
+        return F.filter(_terms(terms), lambda t: F.contains(lowered, t))
+    own = _terms(lower)
+    return F.filter(_terms(terms), lambda _, i: F.contains(lowered, F.get(own, i)))
 
 
 def distinct_terms(lowered: Column, terms: Sequence[str]) -> Column:
@@ -47,11 +55,11 @@ def distinct_terms(lowered: Column, terms: Sequence[str]) -> Column:
 
 def count_terms(lowered: Column, terms: Sequence[str]) -> Column:
     """How many list entries are found; entries that differ in case alone count each."""
-    return F.coalesce(F.size(matched_terms(lowered, terms)), F.lit(0))
+    return F.coalesce(F.size(matched_terms(lowered, [t.lower() for t in terms])), F.lit(0))
 
 
 def contains_any(lowered: Column, terms: Sequence[str]) -> Column:
-    return F.coalesce(F.exists(_terms(dict.fromkeys(t.lower() for t in terms)), lambda t: F.contains(lowered, t)), F.lit(False))
+    return F.coalesce(F.exists(_terms(list(dict.fromkeys(t.lower() for t in terms))), lambda t: F.contains(lowered, t)), F.lit(False))
 
 
 def first_term(terms: Column) -> Column:
@@ -62,7 +70,7 @@ def match_keywords(lowered: Column, keywords: Mapping[str, Sequence[str]]) -> Co
     """Category to the keywords found, in file order, without the categories that have none."""
     if not keywords:
         return F.create_map().cast("map<string,array<string>>")
-    hits = F.map_from_arrays(F.array(*[F.lit(c) for c in keywords]), F.array(*[matched_terms(lowered, k) for k in keywords.values()]))
+    hits = F.map_from_arrays(_terms(list(keywords)), F.array(*[matched_terms(lowered, k) for k in keywords.values()]))
     return F.map_filter(hits, lambda _, v: F.size(v) > 0)
 
 

@@ -13,6 +13,7 @@ from ..config import ReportConfig
 from ..functions import links
 from ..functions import text as tx
 from ..functions.vocab import match_keywords
+from ..shared import where_computed
 from .select import at_most, dedupe_and_cap, first_by
 
 ARRIVAL = ("feed_ord", "entry_ord")
@@ -70,7 +71,7 @@ def items(found: DataFrame, keywords: Mapping[str, Sequence[str]], mode: F.Colum
     """Candidates with a link and their matched keywords; where the feed's mode is keyword, only those that match."""
     mode = F.lit("keyword") if mode is None else F.coalesce(mode, F.lit("keyword"))
     matched = found.where("link <> ''").withColumn("_text", match_text()).withColumn("matched_keywords", match_keywords(F.col("_text"), keywords)).drop("_text")
-    return matched.where((mode != "keyword") | (F.size(F.map_keys("matched_keywords")) > 0))
+    return where_computed(matched, (mode != "keyword") | (F.size(F.map_keys("matched_keywords")) > 0))
 
 
 def with_feed_mode(found: DataFrame, feeds: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions.digest import scored
 from ..functions.text import similar
 from ..functions.vocab import Vocabulary, default_vocabulary, contains_any
 from ..functions import text as tx
+from ..shared import stage, where_computed
 from .select import Rows, fold
 
 SECTIONS = ("core", "market", "watch", "quick_scan")
@@ -63,16 +64,14 @@ def sections(items: DataFrame, config: ReportConfig, vocabulary: Vocabulary | No
 
     Items are scored once; the folds read narrow rows in order and stop when a section is full, and hand on no more than the caps.
     """
-    narrow = scored(items, vocabulary, config, entities).select(*_KEYS).where("section is not null or quick_scannable").persist()
+    narrow = where_computed(scored(items, vocabulary, config, entities).select(*_KEYS), F.col("section").isNotNull() | F.col("quick_scannable"))
+    narrow = stage(narrow, "scored")  # four folds read it; as a table it is scored once, and the folds' plans are short
     picked: list[dict] = []
-    try:
-        for kind, cap, per_source in (("core", config.max_core_events, None), ("market", config.max_market_signals, config.max_market_signals_per_source), ("watch", config.max_watch_items, None)):
-            picked += [r.asDict() for r in fold(narrow.where(F.col("section") == kind), order(), _pick(kind, cap, per_source, list(picked)), _PICKED).collect()]  # at most cap rows
-        if config.include_quick_scan:
-            choose = _pick("quick_scan", config.max_quick_scan_items, config.max_quick_scan_items_per_source, list(picked), {p["link"] for p in picked})
-            picked += [r.asDict() for r in fold(narrow.where("quick_scannable"), order(), choose, _PICKED).collect()]
-    finally:
-        narrow.unpersist()
+    for kind, cap, per_source in (("core", config.max_core_events, None), ("market", config.max_market_signals, config.max_market_signals_per_source), ("watch", config.max_watch_items, None)):
+        picked += [r.asDict() for r in fold(narrow.where(F.col("section") == kind), order(), _pick(kind, cap, per_source, list(picked)), _PICKED).collect()]  # at most cap rows
+    if config.include_quick_scan:
+        choose = _pick("quick_scan", config.max_quick_scan_items, config.max_quick_scan_items_per_source, list(picked), {p["link"] for p in picked})
+        picked += [r.asDict() for r in fold(narrow.where("quick_scannable"), order(), choose, _PICKED).collect()]
     shown = items.sparkSession.createDataFrame([(p["ord"], p["section"], p["rank"]) for p in picked], "_ord long, section string, rank int")
     return items.join(F.broadcast(shown), F.col("ord") == F.col("_ord")).drop("_ord")  # as many rows as the caps allow
 

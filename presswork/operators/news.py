@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import news as fn
 from ..functions.vocab import Vocabulary, contains_any, default_vocabulary
+from ..shared import stage, where_computed
 from .select import first_by, ranked, two_caps
 
 INSIGHT = ["ord", "title", "source", "link", "reason", "score", "news_type"]
@@ -20,7 +21,7 @@ def by_score() -> list[Column]:
 def insights(articles: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
     """articles with ord, scored, those that are excluded, weak or unmapped overseas listings gone; blanks of title and source filled in."""
     v = vocabulary or default_vocabulary()
-    kept = fn.score_articles(articles.where(~fn.excluded(v)), v).where(fn.investable() & ~fn.unmapped_overseas_ipo(v))
+    kept = where_computed(fn.score_articles(articles.where(~fn.excluded(v)), v), fn.investable() & ~fn.unmapped_overseas_ipo(v))
     blank = lambda c: fn.tx.strip(F.coalesce(F.col(c), F.lit("")))
     return kept.withColumns({"title": F.coalesce(F.nullif(blank("title"), F.lit("")), F.lit("Untitled")), "source": F.coalesce(F.nullif(blank("source"), F.lit("")), F.nullif(blank("feed_name"), F.lit("")), F.lit("Unknown")), "link": blank("link")})
 
@@ -82,7 +83,7 @@ def analyze(articles: DataFrame, holdings: DataFrame | None = None, limit: int =
     Articles are scored once for all streams and holdings.
     """
     v = vocabulary or default_vocabulary()
-    found = insights(articles, v).persist()
+    found = stage(insights(articles, v).select(*INSIGHT, "news_text"), "insights")  # scored once for all streams and holdings
     lowered = F.lower("news_text")
     events = important(consolidate_policies(found.where(F.col("news_type").isin(fn.MACRO, fn.POLICY, fn.FINANCING, fn.OPERATING))), limit).withColumn("rank", F.row_number().over(W.orderBy(F.col("score").desc(), F.col("top").desc(), "ord")))
     catalysts = found.where((F.col("news_type") == fn.CATALYST) & (F.col("score") >= 55))

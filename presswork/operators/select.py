@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import where_computed
+
 Rows = Iterator[dict]
 
 
@@ -99,7 +101,7 @@ def two_caps(df: DataFrame, identity: Sequence[str], group: str, kind: str, kind
 def first_category(df: DataFrame, matched: str, categories: Sequence[str]) -> DataFrame:
     """Each row with the first of categories that it matches; rows without one go."""
     named = F.filter(F.array(*[F.lit(c) for c in categories]), lambda c: F.map_contains_key(F.col(matched), c))
-    return df.withColumn("category", F.try_element_at(named, F.lit(1))).where("category is not null")
+    return where_computed(df.withColumn("category", F.try_element_at(named, F.lit(1))), F.col("category").isNotNull())
 
 
 def category_order(categories: Sequence[str], configured: Sequence[str]) -> list[str]:
