@@ -1,52 +1,16 @@
-"""Where intermediate tables go, and joins whose small side is measured first."""
+"""Joins whose small side is measured first, and the shared folder's functions."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import new_path, shared_dir, stage
+
 #: Ids up to this number are broadcast (16 bytes each in Spark's long map); beyond it both sides are shuffled.
 BROADCAST_IDS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="presswork-")
-        atexit.register(shutil.rmtree, found[7:], ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses; it is deleted when the session's driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def remove() -> None:
-        try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the JVM may be gone already
-            pass
-
-    atexit.register(remove)
-    return path
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the shared folder: its lineage ends there, and the loss of an executor costs nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs whose doc_id isn't in ids (one column, doc_id); a null doc_id stays. ids are broadcast only up to BROADCAST_IDS."""
     ids = stage(ids.select(F.col("doc_id").alias("_gone")).distinct(), "ids")
@@ -57,3 +21,6 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def has(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that other columns, whatever their names, can't clash with those that an operator adds."""
     return df.select(*[df[f"`{n}`"] for n in names])
+
+
+__all__ = ["BROADCAST_IDS", "has", "new_path", "shared_dir", "stage", "without_ids"]
