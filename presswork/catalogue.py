@@ -91,7 +91,8 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
 
 def gated(spark: SparkSession, sf: str) -> DataFrame:
     a = articles(spark, sf)
-    return a.withColumn("matched_keywords", match_keywords(F.lower(tx.clean(F.concat_ws(" ", "title", "summary"), False)), KEYWORDS))
+    a = a.withColumn("_text", F.lower(tx.clean(F.concat_ws(" ", "title", "summary"), False)))
+    return a.withColumn("matched_keywords", match_keywords(F.col("_text"), KEYWORDS)).drop("_text")
 
 
 def _list(terms) -> str:
