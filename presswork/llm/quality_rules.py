@@ -81,12 +81,12 @@ class Rules:
         n1, n0 = y[cal].sum(), (1 - y[cal]).sum()
         target = np.where(y[cal] > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
         for _ in range(50):
-            p = 1 / (1 + np.exp(-(self.a * z + self.b)))
+            p = 1 / (1 + np.exp(-np.clip(self.a * z + self.b, -30, 30)))
             w = np.maximum(p * (1 - p), 1e-6)
             g = np.array([(p - target) @ z, (p - target).sum()])
             hess = np.array([[(w * z) @ z + 1e-3, w @ z], [w @ z, w.sum() + 1e-3]])
             da, db = np.linalg.solve(hess, g)
-            self.a, self.b = self.a - da, self.b - db
+            self.a, self.b = self.a - np.clip(da, -2, 2), self.b - np.clip(db, -2, 2)
         self.weights = self.weights.astype(np.float32)
 
     def probability(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -95,7 +95,7 @@ class Rules:
             total = np.zeros(len(slots) + 1)
             np.cumsum(self.weights[slots], out=total[1:], dtype=np.float64)
             z += (total[end] - total[begin]) / np.maximum(end - begin, 1)
-        return 1 / (1 + np.exp(-(self.a * z + self.b)))
+        return 1 / (1 + np.exp(-np.clip(self.a * z + self.b, -50, 50)))
 
 
 def _bag(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
