@@ -27,6 +27,8 @@ from .shared import has, stage
 MIN_WORDS = 50
 #: Words of an anchor; a window has MIN_WORDS - GRAM + 1 of these.
 GRAM = 16
+#: Stretches of one anchor that a task should see; an anchor with more is first thinned out by several tasks.
+HOT = 50_000
 #: A phrase ends where the rolling hash of CONTEXT words is 0 modulo this.
 TRIGGER, CONTEXT = 7, 2
 
@@ -87,7 +89,7 @@ def _anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
 
 
 def _stretches(texts: DataFrame, size: int, gram: int) -> DataFrame:
-    """(key, doc_id, at, n, words): for each wanted anchor the first word and the number of its windows, and the words of all of them."""
+    """(key, doc_id, at, n, parts, words): for each wanted anchor the first word and the number of its windows, the tasks that thin it out, and the words of all its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,8 +101,11 @@ def _stretches(texts: DataFrame, size: int, gram: int) -> DataFrame:
                 row = np.searchsorted(rows, first[cut], "right") - 1
                 some = wanted.slice(lo, hi - lo)
                 of = np.repeat(np.arange(hi - lo), np.diff(np.asarray(some.offsets)))
-                flat = np.asarray(some.flatten())
-                keep = np.flatnonzero(np.isin(anchor[cut], rows[of] + flat))
+                flat = some.flatten()
+                places = rows[of] + np.asarray(flat.field("at"))
+                sort = np.argsort(places)
+                keep = np.flatnonzero(np.isin(anchor[cut], places))
+                parts = np.asarray(flat.field("parts"))[sort[np.searchsorted(places, anchor[cut][keep], sorter=sort)]] if len(keep) else np.empty(0, np.int32)
                 cut, past, row = cut[keep], past[keep], row[keep]
                 a, b = first[cut], first[past - 1] + size
                 lo_byte, hi_byte = starts[a], ends[b - 1]
@@ -108,9 +113,9 @@ def _stretches(texts: DataFrame, size: int, gram: int) -> DataFrame:
                 out = np.concatenate(([0], np.cumsum(size_b)))
                 take = np.repeat(lo_byte - out[:-1], size_b) + np.arange(out[-1])
                 words = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(out.astype(np.int32).tobytes()), pa.py_buffer(data[take].tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(key[cut].view(np.int64)), pa.array(ids[lo + row]), pa.array((a - rows[row]).astype(np.int32)), pa.array((past - cut).astype(np.int32)), words], ["key", "doc_id", "at", "n", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[cut].view(np.int64)), pa.array(ids[lo + row]), pa.array((a - rows[row]).astype(np.int32)), pa.array((past - cut).astype(np.int32)), pa.array(parts), words], ["key", "doc_id", "at", "n", "parts", "words"])
 
-    return texts.mapInArrow(run, "key long, doc_id long, at int, n int, words binary")
+    return texts.mapInArrow(run, "key long, doc_id long, at int, n int, parts int, words binary")
 
 
 def _ranks(key: np.ndarray) -> np.ndarray:
@@ -223,24 +228,28 @@ def repeated_words(docs: DataFrame, size: int = MIN_WORDS, gram: int = GRAM) ->
     """
     few = has(docs, "doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     count = F.count("*").over(W.partitionBy("key"))
-    wanted = _anchors(few, size, gram).withColumn("c", count).where("c > 1").groupBy("doc_id").agg(F.collect_set("at").alias("wanted"))
+    wanted = _anchors(few, size, gram).withColumn("c", count).where("c > 1").groupBy("doc_id").agg(F.collect_set(F.struct("at", F.ceil(F.col("c") / HOT).cast("int").alias("parts"))).alias("wanted"))
     stretches = _stretches(few.join(wanted, "doc_id"), size, gram)
 
+    def solve(held: list[pa.Table]) -> pa.RecordBatch:
+        doc, word, of_doc, of_word = _repeats(pa.concat_tables(held), size)
+        d, a, b, w = _spans(doc, word, size)
+        return _found(d, a, b, of_doc[w], of_word[w])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         bytes_held, key = 0, None
-
-        def solve() -> pa.RecordBatch:
-            doc, word, of_doc, of_word = _repeats(pa.concat_tables(held), size)
-            d, a, b, w = _spans(doc, word, size)
-            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(of_doc[w]), pa.array(of_word[w].astype(np.int32))], ["doc_id", "begin", "end", "of_doc_id", "of_begin"])
-
         for batch in batches:  # sorted by key: a key's stretches are solved together, whatever batches they come in
             doc, begin, n, of_doc, of_at = (np.asarray(batch.column(c)) for c in ("doc_id", "at", "n", "of_doc_id", "of_at"))
             copy = (doc != of_doc) | (begin != of_at)
             if copy.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[copy]) for x in (doc, begin, begin + n + np.int32(size - 1), of_doc, of_at)], ["doc_id", "begin", "end", "of_doc_id", "of_begin"])
+                yield _found(*[x[copy] for x in (doc, begin, begin + n + np.int32(size - 1), of_doc, of_at)])
             table = pa.Table.from_batches([batch]).filter(pa.array(~copy))
+            later = table.column("parts").to_numpy() > 1
+            if later.any():  # the first of equal stretches in this part; the parts' firsts meet in the next round
+                for left in table.filter(pa.array(later)).to_batches():
+                    yield _left(left)
+                table = table.filter(pa.array(~later))
             if not table.num_rows:
                 continue
             keys = table.column("key").to_numpy()
@@ -250,18 +259,41 @@ def repeated_words(docs: DataFrame, size: int = MIN_WORDS, gram: int = GRAM) ->
                 held.append(table.slice(0, cut))
                 lo = cut
                 if cut < len(keys):
-                    yield solve()
+                    yield solve(held)
                     held, bytes_held = [], 0
             if lo < len(keys):
                 held.append(table.slice(lo))
                 bytes_held += held[-1].nbytes
                 key = keys[-1]
         if held:
-            yield solve()
+            yield solve(held)
+
+    def round_of(rows: DataFrame, part: F.Column) -> DataFrame:
+        """Spans, and what is left of hot anchors. Of stretches that are equal word for word all but the first are copies, and need no order."""
+        equal = W.partitionBy("key", "part", "n", F.xxhash64("words")).orderBy("doc_id", "at")
+        firsts = rows.withColumn("part", part).repartition("key", "part").withColumn("of_doc_id", F.first("doc_id").over(equal)).withColumn("of_at", F.first("at").over(equal))
+        return stage(firsts.sortWithinPartitions("key", "part").mapInArrow(run, _ROUND), "spans")
+
+    first = round_of(stretches, F.pmod(F.xxhash64("doc_id"), F.col("parts").cast("long")))
+    hot = first.where("words is not null")
+    second = round_of(hot.select("key", "doc_id", F.col("begin").alias("at"), F.col("end").alias("n"), F.lit(1).alias("parts"), "words"), F.lit(0).cast("long"))
+    spans = ["doc_id", "begin", "end", "of_doc_id", "of_begin"]
+    return first.where("words is null").select(*spans).unionByName(second.select(*spans))
+
+
+#: Spans, with words null; or stretches of hot anchors, whose windows are counted in "end".
+_ROUND = "doc_id long, begin int, end int, of_doc_id long, of_begin int, key long, words binary"
+_ROUND_NAMES = ["doc_id", "begin", "end", "of_doc_id", "of_begin", "key", "words"]
+
+
+def _found(doc: np.ndarray, begin: np.ndarray, end: np.ndarray, of_doc: np.ndarray, of_begin: np.ndarray) -> pa.RecordBatch:
+    arrays = [pa.array(doc), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(of_doc), pa.array(of_begin.astype(np.int32)), pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, _ROUND_NAMES)
+
 
-    equal = W.partitionBy("key", "n", F.xxhash64("words")).orderBy("doc_id", "at")  # a stretch that stands earlier word for word is a copy, and needs no order
-    by_key = stretches.repartition("key").withColumn("of_doc_id", F.first("doc_id").over(equal)).withColumn("of_at", F.first("at").over(equal)).sortWithinPartitions("key")
-    return by_key.mapInArrow(run, "doc_id long, begin int, end int, of_doc_id long, of_begin int")
+def _left(rows: pa.RecordBatch) -> pa.RecordBatch:
+    none = pa.nulls(rows.num_rows, pa.int64())
+    return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("at"), rows.column("n"), none, none.cast(pa.int32()), rows.column("key"), rows.column("words").cast(pa.binary())], _ROUND_NAMES)
 
 
 #: Stretches of so many bytes, and the rest of their last key, are solved at once.

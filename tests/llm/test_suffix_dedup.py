@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from presswork.llm import arrowtext as at
 from presswork.llm import suffix_dedup as sd
@@ -41,7 +42,9 @@ def corpus(rng, n):
     return out
 
 
-def test_matches_every_window(spark):
+@pytest.mark.parametrize("hot", [sd.HOT, 3])
+def test_matches_every_window(spark, monkeypatch, hot):
+    monkeypatch.setattr(sd, "HOT", hot)  # 3: most anchors go through two rounds
     texts = corpus(random.Random(5), 150)
     got = {}
     rows = sd.repeats(frame(spark, texts)).collect()
