@@ -95,6 +95,9 @@ def gated(spark: SparkSession, sf: str) -> DataFrame:
     return a.withColumn("matched_keywords", match_keywords(F.col("_text"), KEYWORDS)).drop("_text")
 
 
+_NUM = r"\d+(?:\.\d+)?"
+
+
 def _list(terms) -> str:
     return "[" + ", ".join("'" + t.lower().replace("'", "''") + "'" for t in terms) + "]"
 
@@ -187,7 +190,7 @@ def q_article_id(spark, sf):
 
 
 _DATED = "CASE page_id % 7 WHEN 0 THEN '2024-01/' || d || '/x' WHEN 1 THEN '2024/01-' || d WHEN 2 THEN '2024/01/' || d || '/' WHEN 3 THEN '2023-12-' || d WHEN 4 THEN '2024/13/01/2024-01-05' WHEN 5 THEN '2024/01/32/' ELSE 'about' END"
-_PATTERN = r"/(\d{4})-(\d{2})/(\d{2})(?:/|$)", r"/(\d{4})/(\d{2})-(\d{2})(?:/|$)", r"/(\d{4})/(\d{2})/(\d{2})(?:/|$)", r"/(\d{4})-(\d{2})-(\d{2})(?:/|$)"
+_PATTERN = [r"/(\d{4})" + a + r"(\d{2})" + b + r"(\d{2})" + "(?:/|$)" for a, b in ("-/", "/-", "//", "--")]
 
 
 @query(
@@ -215,7 +218,7 @@ def q_clean_entities(spark, sf):
 
 @query(
     rf"""WITH {_A}, t AS (SELECT ord, lower(title || ' $ 1.5 billion 2 billion') AS x FROM a0)
-    SELECT ord, trim(regexp_replace(regexp_replace(regexp_replace(x, '\$\s?(\d+(?:\.\d+)?)\s?(?:b|bn|billion)\b', '\1b', 'g'), '\b(\d+(?:\.\d+)?)\s?billion\b', '\1b', 'g'), '[^a-z0-9\x{{4e00}}-\x{{9fff}}]+', ' ', 'g')) AS normal,
+    SELECT ord, trim(regexp_replace(regexp_replace(regexp_replace(x, '\$\s?({_NUM})\s?(?:bn?|billion)\b', '\1b', 'g'), '\b({_NUM})\s?billion\b', '\1b', 'g'), '[^a-z0-9\x{{4e00}}-\x{{9fff}}]+', ' ', 'g')) AS normal,
     regexp_replace(x, '[^0-9a-z\x{{4e00}}-\x{{9fff}}]+', '', 'g') AS story FROM t"""
 )
 def q_normalized_title(spark, sf):
@@ -315,9 +318,9 @@ def _v(name: str, column: str = "t") -> str:
     return _has(VOCABULARY[name], column)
 
 
-_ACTIONS = r"\b(?:raises?|raised|files?|filed|withdraws?|withdrew|nabs?|nabbed|reaches?|reached|hits?|hit|valued|acquires?|acquired|acquisition|merger|launches?|launched)\b"
-_BILLION = r"(regexp_matches(ti, '\$\s?\d+(?:\.\d+)?\s?(?:b|bn|billion)\b') OR regexp_matches(ti, '\b\d+(?:\.\d+)?\s?billion\b'))"
-_MONEY = r"(regexp_matches(ti, '\$\s?\d+(?:\.\d+)?\s?(?:k|m|mm|b|bn|million|billion)\b') OR regexp_matches(ti, '\b\d+(?:\.\d+)?\s?(?:million|billion)\b'))"
+_ACTIONS = r"\b(?:" + "|".join("raises? raised files? filed withdraws? withdrew nabs? nabbed reaches? reached hits? valued acquires? acquired acquisition merger launches? launched".split()) + r")\b"
+_BILLION = rf"(regexp_matches(ti, '\$\s?{_NUM}\s?(?:bn?|billion)\b') OR regexp_matches(ti, '\b{_NUM}\s?billion\b'))"
+_MONEY = rf"(regexp_matches(ti, '\$\s?{_NUM}\s?(?:k|mm?|bn?|[mb]illion)\b') OR regexp_matches(ti, '\b{_NUM}\s?[mb]illion\b'))"
 _HARD = ("capital", "payment", "regulatory", "enterprise", "platform", "business_impact")
 _FLAGS = f"""{_A}, s0 AS (
   SELECT *, {_v("global_tech_deal", "ti")} AND ({_v("global_tech_deal_market", "ti")} OR {_BILLION}) AS deal, regexp_matches(ti, '{_ACTIONS}') AS act,

@@ -10,10 +10,11 @@ from typing import Any
 
 from .functions.vocab import default_vocabulary
 
-REPORT_TYPES = ("list", "digest", "market_brief", "overnight_brief")
+REPORT_TYPES = tuple("list digest market_brief overnight_brief".split())
 TECH_ROLES = ("global_tech_business", "ai_industry")
 FEED_ROLES = ("breaking_news", "market", "tech_industry", *TECH_ROLES, "ai_tools", "general")
 _V = default_vocabulary()
+Names = tuple[str, ...]
 
 
 @dataclass(frozen=True)
@@ -21,10 +22,10 @@ class ReportConfig:
     report_type: str = "list"
     output_dir: str = "output"
     output_title: str = "每日早间回顾"
-    category_order: tuple[str, ...] = ("财经股票", "AI方向")
-    days_back: int = 2
+    category_order: Names = ("财经股票", "AI方向")
     lookback_hours: int = 24
     stale_url_date_tolerance_days: int = 2
+    days_back: int = 2
     filter_stale_by_url_date: bool = True
     max_items_per_category: int = 8
     max_items_per_feed: int = 3
@@ -37,15 +38,15 @@ class ReportConfig:
     max_quick_scan_items_per_source: int = 3
     include_quick_scan: bool = True
     allow_tech_industry_in_market: bool = False
-    core_event_roles: tuple[str, ...] = ("breaking_news", "general", *TECH_ROLES)
-    market_signal_roles: tuple[str, ...] = ("market", *TECH_ROLES)
-    watch_item_roles: tuple[str, ...] = ("market", "breaking_news", "general", *TECH_ROLES)
-    quick_scan_roles: tuple[str, ...] = tuple(r for r in FEED_ROLES if r != "ai_tools")
-    quick_scan_exclude_roles: tuple[str, ...] = ("ai_tools",)
-    digest_exclude_roles: tuple[str, ...] = ("ai_tools",)
-    quick_scan_low_value_patterns: tuple[str, ...] = _V["config.quick_scan_low_value"]
-    core_event_negative_patterns: tuple[str, ...] = _V["config.core_event_negative"]
-    low_value_patterns: tuple[str, ...] = _V["config.low_value"]
+    core_event_roles: Names = ("breaking_news", "general", *TECH_ROLES)
+    market_signal_roles: Names = ("market", *TECH_ROLES)
+    watch_item_roles: Names = ("market", "breaking_news", "general", *TECH_ROLES)
+    quick_scan_roles: Names = tuple(r for r in FEED_ROLES if r != "ai_tools")
+    quick_scan_exclude_roles: Names = ("ai_tools",)
+    digest_exclude_roles: Names = ("ai_tools",)
+    quick_scan_low_value_patterns: Names = _V["config.quick_scan_low_value"]
+    core_event_negative_patterns: Names = _V["config.core_event_negative"]
+    low_value_patterns: Names = _V["config.low_value"]
 
 
 def positive_int(value: Any, default: int, name: str) -> int:

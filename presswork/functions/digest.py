@@ -26,12 +26,18 @@ def without_match_texts(items: DataFrame) -> DataFrame:
     return items.drop(*_MATCH)
 
 
+def _money(title: Column, after_dollar: str, alone: str) -> Column:
+    """A number with a dollar sign and one of these units, or with a word."""
+    units = lambda names: rf"{tx.NUMBER}\s?(?:{'|'.join(names.split())})\b"
+    return title.rlike(rf"(?iU)\$\s?{units(after_dollar)}") | title.rlike(rf"(?iU)\b{units(alone)}")
+
+
 def billion_amount(title: Column) -> Column:
-    return title.rlike(r"(?iU)\$\s?\d+(?:\.\d+)?\s?(?:b|bn|billion)\b") | title.rlike(r"(?iU)\b\d+(?:\.\d+)?\s?billion\b")
+    return _money(title, "b bn billion", "billion")
 
 
 def money_amount(title: Column) -> Column:
-    return title.rlike(r"(?iU)\$\s?\d+(?:\.\d+)?\s?(?:k|m|mm|b|bn|million|billion)\b") | title.rlike(r"(?iU)\b\d+(?:\.\d+)?\s?(?:million|billion)\b")
+    return _money(title, "k m mm b bn million billion", "million billion")
 
 
 _ACTION = r"(?iU)\b(?:" + "|".join("raise raises raised file files filed withdraw withdraws withdrew nab nabs nabbed reach reaches reached hit hits valued acquire acquires acquired acquisition merger launch launches launched".split()) + r")\b"
@@ -202,13 +208,13 @@ class Item:
     def deal_key(self) -> Column:
         """deal:amount:three entities in order, or the whole normalised title; "" for what is no deal."""
         normal = tx.normalized_title(self.raw_title)
-        amount = F.regexp_extract(normal, r"\b\d+(?:\.\d+)?b\b", 0)
+        amount = F.regexp_extract(normal, rf"\b{tx.NUMBER}b\b", 0)
         names = F.filter(_entities(self.raw_title), lambda e: ~e.isin("AI", "IPO", "GPT", "LLM"))
         own = F.array_distinct(F.transform(names, F.lower))
         return F.when(self.deal(), F.concat(F.lit("deal:"), F.when((amount != "") & (F.size(own) >= 2), F.concat_ws(":", amount, F.array_join(F.array_sort(F.slice(own, 1, 3)), ":"))).otherwise(normal))).otherwise("")
 
     def discussion_key(self) -> Column:
-        names = F.filter(_entities(self.raw_title), lambda e: ~F.upper(e).isin("AI", "ROI", "IPO", "IPOS", "LLM", "CEO"))
+        names = F.filter(_entities(self.raw_title), lambda e: ~F.upper(e).isin(*"AI ROI IPO IPOS LLM CEO".split()))
         own = F.array_distinct(F.transform(names, F.lower))
         topic = F.lower(first_term(matched_terms(self.title, self.vocabulary["discussion_topic"])))
         return F.when(self.discussion() & (F.size(own) >= 2) & topic.isNotNull(), F.concat(F.lit("discussion:"), F.array_join(F.slice(own, 1, 3), ":"), F.lit(":"), topic)).otherwise("")

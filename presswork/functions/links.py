@@ -35,7 +35,8 @@ def dedupe_key(normalized_link: Column, own_id: Column) -> Column:
     return F.coalesce(F.nullif(normalized_link, F.lit("")), own_id)
 
 
-_DATES = [r"/(\d{4})-(\d{2})/(\d{2})(?:/|$)", r"/(\d{4})/(\d{2})-(\d{2})(?:/|$)", r"/(\d{4})/(\d{2})/(\d{2})(?:/|$)", r"/(\d{4})-(\d{2})-(\d{2})(?:/|$)"]
+_Y, _TWO, _END = r"/(\d{4})", r"(\d{2})", "(?:/|$)"
+_DATES = [f"{_Y}{first}{_TWO}{second}{_TWO}{_END}" for first, second in ("-/", "/-", "//", "--")]
 
 
 def url_date(url: Column) -> Column:

@@ -168,7 +168,7 @@ def policy_key() -> Column:
     has = lambda *terms: F.greatest(F.lit(False), *[F.contains(text, F.lit(t)) for t in terms])
     return F.when(
         F.col("news_type") == POLICY,
-        F.when(has("证监会") & has("再融资", "定增", "储架发行", "征求意见"), "policy:csrc-refinancing-private-placement")
+        F.when(has("证监会") & has(*"再融资 定增 储架发行 征求意见".split()), "policy:csrc-refinancing-private-placement")
         .when(has("减持"), "policy:shareholding-reduction")
         .when(has("退市"), "policy:delisting")
         .when(has("并购重组"), "policy:ma-restructuring")

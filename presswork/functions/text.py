@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = r"[\s\x1c-\x1f]"
+NUMBER = r"\d+(?:\.\d+)?"
+_LATIN, _HAN = r"[A-Za-z][A-Za-z0-9'-]*", r"[\x{4e00}-\x{9fff}]"
 _EDGES = rf"(?U)^{SPACE}+|{SPACE}+$"
 
 
@@ -69,11 +71,12 @@ def strip_noise(cleaned: Column) -> Column:
 
 def is_english(text: Column) -> Column:
     """More Latin words than CJK characters."""
-    return F.regexp_count(text, F.lit(r"(?U)\b[A-Za-z][A-Za-z0-9'-]*\b")) > F.regexp_count(text, F.lit(r"[\x{4e00}-\x{9fff}]"))
+    return F.regexp_count(text, F.lit(rf"(?U)\b{_LATIN}\b")) > F.regexp_count(text, F.lit(_HAN))
 
 
 def sentences(text: Column, most: int = 3) -> Column:
-    parts = F.split(text, r"(?<=[。！？；;])(?U:\s*)|(?<=[.!?])(?U:\s+)")
+    after = lambda signs: f"(?<=[{signs}])"
+    parts = F.split(text, after("。！？；;") + r"(?U:\s*)|" + after(".!?") + r"(?U:\s+)")
     return F.slice(F.filter(F.transform(parts, strip), lambda s: s != ""), 1, most)
 
 
@@ -115,8 +118,8 @@ def pack_summary(cleaned: Column, fallback: str = NO_SUMMARY) -> Column:
 def normalized_title(title: Column) -> Column:
     """Lower case, amounts in billions as "1.45b", then everything but a-z, 0-9 and CJK as a space (the point of an amount too)."""
     own = F.lower(title)
-    own = F.regexp_replace(own, r"(?U)\$\s?(\d+(?:\.\d+)?)\s?(?:b|bn|billion)\b", "$1b")
-    own = F.regexp_replace(own, r"(?U)\b(\d+(?:\.\d+)?)\s?billion\b", "$1b")
+    for before, unit in ((r"\$\s?", "(?:b|bn|billion)"), (r"\b", "billion")):
+        own = F.regexp_replace(own, rf"(?U){before}({NUMBER})\s?{unit}\b", "$1b")
     return F.trim(F.regexp_replace(own, r"[^a-z0-9\x{4e00}-\x{9fff}]+", " "))
 
 
@@ -156,7 +159,7 @@ def metadata_text(text: Column) -> Column:
 def failure_code(error: Column) -> Column:
     own = F.lower(F.coalesce(error, F.lit("")))
     any_of = lambda *terms: F.greatest(*[F.contains(own, F.lit(t)) for t in terms])
-    return F.when(any_of("timeout", "timed out"), "timeout").when(any_of("parse", "json", "xml", "bozo"), "parse_error").when(any_of("http", "url", "network", "connect"), "network_error").otherwise("unknown_failure")
+    return F.when(any_of("timeout", "timed out"), "timeout").when(any_of(*"parse json xml bozo".split()), "parse_error").when(any_of("http", "url", "network", "connect"), "network_error").otherwise("unknown_failure")
 
 
 def language(value: Column) -> Column:
@@ -168,7 +171,11 @@ def source_key(source: Column, feed: Column) -> Column:
     return F.coalesce(F.nullif(source, F.lit("")), feed)
 
 
-def has_attribution(text: Column, markers: Sequence[str], clause: str = r"[\x{4e00}-\x{9fff}·]{2,12}称(?:已|将|正|未|没有|不会|可以|可能|美|中|其|该)") -> Column:
+#: A name and what it says of itself or others.
+CLAIM = r"[\x{4e00}-\x{9fff}·]{2,12}称" + f"(?:{'|'.join('已 将 正 未 没有 不会 可以 可能 美 中 其 该'.split())})"
+
+
+def has_attribution(text: Column, markers: Sequence[str], clause: str = CLAIM) -> Column:
     own = F.lower(text)
     return F.greatest(F.exists(F.array(*[F.lit(m) for m in markers]), lambda m: F.contains(own, m)), own.rlike(clause))
 

@@ -23,7 +23,9 @@ def default_vocabulary() -> dict[str, tuple[str, ...]]:
         if line:
             name, term = line.split("\t")
             out.setdefault(name, []).append(term)
-    return {k: tuple(v) for k, v in out.items()}
+    day = r"\d{1,2}"
+    # a date with its year holds the date without it
+    return {k: tuple(v) for k, v in out.items()} | {"watch_time": (f"{day}月{day}日(?:{'|'.join(out['watch_time_verb'])})",)}
 
 
 def vocabulary_frame(spark: SparkSession, vocabulary: Vocabulary | None = None) -> DataFrame:

@@ -72,13 +72,19 @@ def first_violation(found: DataFrame) -> DataFrame:
     return found.groupBy("response_id").agg(first.alias("v")).select("response_id", "v.code", "v.path", "v.article_id")
 
 
-_ACTS, _DO = "(?:买入|卖出|加仓|减仓|做多|做空|持有|增持|减持|止损|止盈)", "(?:buy|sell|hold)"
+def _any(words: str) -> str:
+    return f"(?:{'|'.join(words.split())})"
+
+
+_ACTS, _DO = _any("买入 卖出 加仓 减仓 做多 做空 持有 增持 减持 止损 止盈"), _any("buy sell hold")
+_URGES, _READER, _MAY = _any("建议 推荐 可考虑 应该 应当 适合 不妨"), _any("您 你 读者 用户 投资者"), _any("应 应该 应当 可以 可考虑 请 务必")
+_SAYS, _MOVES = _any("recommend recommended advise advised should suggest"), _any("buy sell hold short long add reduce")
 ADVICE = (
-    rf"(?U)(?:建议|推荐|可考虑|应该|应当|适合|不妨)\s*{_ACTS}",
-    rf"(?U)(?:您|你|读者|用户|投资者)\s*(?:应|应该|应当|可以|可考虑|请|务必)\s*{_ACTS}",
-    rf"(?U){_ACTS}\s*(?:该股|这只股票|该股票|这只股)",
-    r"(?iU)\b(?:recommend|recommended|advise|advised|should|suggest)\s+(?:to\s+)?(?:buy|sell|hold|short|long|add|reduce)\b",
-    rf"(?iU)\b{_DO}\s+(?:this|that|the)\s+(?:stock|shares?|company)\b",
+    rf"(?U){_URGES}\s*{_ACTS}",
+    rf"(?U){_READER}\s*{_MAY}\s*{_ACTS}",
+    rf"(?U){_ACTS}\s*{_any('该股 这只股票 该股票 这只股')}",
+    rf"(?iU)\b{_SAYS}\s+(?:to\s+)?{_MOVES}\b",
+    rf"(?iU)\b{_DO}\s+{_any('this that the')}\s+{_any('stock shares? company')}\b",
 )
 
 

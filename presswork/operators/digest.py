@@ -17,7 +17,7 @@ from ..shared import stage, where_computed
 from .select import Rows, fold
 
 SECTIONS = ("core", "market", "watch", "quick_scan")
-_CJK, _NUMBER = re.compile("[一-鿿]"), re.compile(r"\d+(?:\.\d+)?")
+_CJK, _NUMBER = re.compile("[一-鿿]"), re.compile(tx.NUMBER)
 _KEYS = ["ord", "section", "importance", "title_length", "published_at", "deal_key", "discussion_key", "title_key", "source_key", "link", "quick_scannable"]
 
 

@@ -13,6 +13,7 @@ from ..functions import text as tx
 from ..functions.vocab import default_vocabulary
 
 _V = default_vocabulary()
+REQUIRED = "code name market sector".split()
 FIELDS, SENSITIVE = _V["holding.allowed_holding_fields"], _V["holding.sensitive_holding_fields"]
 
 
@@ -33,14 +34,14 @@ def holdings_payload(payload: Any) -> tuple[list[str], list[str]]:
         if private := sorted(set(row) & set(SENSITIVE)):
             warnings.append(f"{label} contains sensitive position/cost fields: {', '.join(private)}")
         errors += [f"{label} {what}: {', '.join(sorted(names))}" for what, names in groups.items() if names]
-        errors += [f"{label}.{name} must be a non-empty string" for name in ("code", "name", "market", "sector") if name in row and not str(row[name] or "").strip()]
+        errors += [f"{label}.{name} must be a non-empty string" for name in REQUIRED if name in row and not str(row[name] or "").strip()]
         errors += [f"{label}.{name} must be a {kind}" for name, kind, good in (("watch_tags", "list", list), ("notes", "string", str)) if name in row and not isinstance(row[name], good)]
     return errors, warnings
 
 
 def holding_rows(rows: DataFrame) -> DataFrame:
     """(ord, error) of holdings (ord, code, name, market, sector, watch_tags, notes) as a table, for lists beyond a file."""
-    errors = [F.when(F.coalesce(tx.strip(F.col(c)), F.lit("")) == "", F.concat(F.lit("holdings["), F.col("ord").cast("string"), F.lit(f"].{c} must be a non-empty string"))) for c in ("code", "name", "market", "sector")]
+    errors = [F.when(F.coalesce(tx.strip(F.col(c)), F.lit("")) == "", F.concat(F.lit("holdings["), F.col("ord").cast("string"), F.lit(f"].{c} must be a non-empty string"))) for c in REQUIRED]
     return rows.select("ord", F.explode(F.filter(F.array(*errors), lambda e: e.isNotNull())).alias("error"))
 
 

@@ -39,7 +39,7 @@ def review(value: Any) -> str:
 
 def failure_code(error: Any) -> str:
     text = str(error or "").lower()
-    groups = {"timeout": ("timeout", "timed out"), "parse_error": ("parse", "json", "xml", "bozo"), "network_error": ("http", "url", "network", "connect")}
+    groups = {"timeout": ("timeout", "timed out"), "parse_error": "parse json xml bozo".split(), "network_error": "http url network connect".split()}
     return next((code for code, terms in groups.items() if any(t in text for t in terms)), "unknown_failure")
 
 

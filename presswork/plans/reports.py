@@ -20,7 +20,7 @@ from ..operators.select import at_most, category_order, first_category
 
 _V = default_vocabulary()
 BARRED = _V["brief.direct_trading_advice"]
-BARRED_OVERNIGHT = (*BARRED, "目标价", "仓位", "成本", "盈亏")
+BARRED_OVERNIGHT = (*BARRED, *"目标价 仓位 成本 盈亏".split())
 DISCLAIMER = "本报告仅用于个人市场观察和复盘，不构成投资建议。"
 Row = Mapping[str, Any]
 
@@ -48,6 +48,10 @@ def rows(df: DataFrame, *order: str | F.Column) -> list[dict]:
     return [r.asDict() for r in (df.orderBy(*order) if order else df).collect()]
 
 
+def _made(at: datetime, name: str = "Generated at: ") -> str:
+    return name + at.isoformat(timespec="seconds")
+
+
 def failures_section(failures: Sequence[tuple[str, str]]) -> list[str]:
     return ["## 抓取失败", "", *([f"- {bar(a)}：{bar(b)}" for a, b in failures] or ["无。"]), ""]
 
@@ -61,7 +65,7 @@ def list_report(items: DataFrame, keywords: Mapping[str, Sequence[str]], day: da
     arrival = [F.col("feed_ord"), F.col("entry_ord")]
     shown = at_most(grouped, ["category"], arrival, config.max_items_per_category).withColumns({"_matched": format_matched(F.col("matched_keywords")), "_summary": tx.truncate(F.coalesce(F.nullif("summary", F.lit("")), F.lit("No summary")), config.summary_max_chars)})
     found = rows(shown, *arrival)
-    lines = [f"# Daily News - {day.isoformat()}", "", f"Generated at: {generated.isoformat(timespec='seconds')}", f"Total displayed articles: {len(found)}", ""]
+    lines = [f"# Daily News - {day.isoformat()}", "", _made(generated), f"Total displayed articles: {len(found)}", ""]
     for category in category_order(list(keywords), config.category_order):
         own = [r for r in found if r["category"] == category]
         lines += [f"## {category}", ""] + ([] if own else ["今日暂无匹配内容。", ""])
@@ -84,7 +88,7 @@ _PARTS = [("core", "## 一、昨日最重要的事", "过去时间窗口内暂
 def digest_report(items: DataFrame, day: date, config: ReportConfig, failures: Sequence[tuple[str, str]], generated: datetime, vocabulary: Vocabulary | None = None) -> str:
     shown = digest.sections(items, config, vocabulary).persist()
     found = rows(with_story_texts(shown), "rank")
-    lines = [f"# {bar(config.output_title)}｜{day.isoformat()}", "", f"Generated at: {generated.isoformat(timespec='seconds')}", f"Lookback: past {config.lookback_hours} hours", f"Total source articles: {items.count()}", f"Displayed items: {len(found)}", ""]
+    lines = [f"# {bar(config.output_title)}｜{day.isoformat()}", "", _made(generated), f"Lookback: past {config.lookback_hours} hours", f"Total source articles: {items.count()}", f"Displayed items: {len(found)}", ""]
     for section, title, none in _PARTS:
         own = [r for r in found if r["section"] == section]
         lines += [title, "", *([x for n, r in enumerate(own, 1) for x in story(n, r)] or [none, ""])]
@@ -208,7 +212,7 @@ def market_brief(context: MarketContext, generated: datetime, holdings_file: str
     themes = [f"- {e(r['title'])}" for r in context.get("theme_clues")] or [none]
     check = f"- 行情验证：{e(context.note)}" if context.indexes else "- 行情验证：指数行情数据暂不可用，本次仅保留新闻驱动观察。"
     risks = [f"- {e(p)}" for p in context.risks()] or ["- 暂未从 RSS 候选中提取到明确风险或反证线索。"]
-    lines = [f"# 每日市场投研晨报｜{s['data_date']}", "", f"Generated at: {generated.isoformat(timespec='seconds')}", f"Report date: {s['data_date']}", f"Market data date: {s['market_data_date']}", "Mode: market_brief", "", "## 一、市场温度", "", e(s["note"]), "", *context.temperature(e)]
+    lines = [f"# 每日市场投研晨报｜{s['data_date']}", "", _made(generated), f"Report date: {s['data_date']}", f"Market data date: {s['market_data_date']}", "Mode: market_brief", "", "## 一、市场温度", "", e(s["note"]), "", *context.temperature(e)]
     lines += ["## 二、今日主线", "", *themes, "", *([f"- {e(context.leads)}", ""] if context.leads else []), check, "", *insight_lines([r for r in context.get("industry_catalysts") if r["score"] >= 70], e, None)]
     lines += ["## 三、我的持仓观察", "", *_holding_lines(context), "## 四、重要新闻与验证", "", *insight_lines(context.get("market_events"), e), "## 五、风险与反证", "", *risks, "", "## 六、今日继续观察", "", *[f"- {e(p)}" for p in context.watched()], ""]
     lines += ["- 数据限制：成交额、行业或行情字段缺失时均标记为数据暂不可用，不做推断。", f"- {DISCLAIMER}"]
@@ -228,7 +232,7 @@ def overnight_brief(context: MarketContext, shown: DataFrame | None, day: date,
     e = bar_overnight
     titles = _V["overnight.overnight_brief_sections"]
     head, market, points, alerts = _curated_parts(context, curated, candidates) if curated is not None else _rule_parts(context, shown)
-    lines = [f"# 早间简报｜{day.isoformat()}", "", f"生成时间：{generated.isoformat(timespec='seconds')}", f"报告日期：{day.isoformat()}", "时间窗口：过去 24 小时", "Mode: overnight_brief", "", titles[0], "", *(head or ["过去时间窗口内暂无明确的重大事件。", ""])]
+    lines = [f"# 早间简报｜{day.isoformat()}", "", _made(generated, "生成时间："), f"报告日期：{day.isoformat()}", "时间窗口：过去 24 小时", "Mode: overnight_brief", "", titles[0], "", *(head or ["过去时间窗口内暂无明确的重大事件。", ""])]
     lines += [titles[1], "", "- 结构化行情说明：当前主要为前一交易日 A 股指数数据，不代表完整全球隔夜行情。", "", *context.temperature(e), *(market or ["暂无明确的市场新闻或市场信号。", ""])]
     lines += [titles[2], "", *([f"- {e(p)}" for p in points] or ["暂无明确的延续观察变量。"]), "", *([titles[3], "", *alerts] if alerts else [])]
     return "\n".join([*lines, "", "---", "", f"- {DISCLAIMER}", *_feed_failures(failures, e), ""])

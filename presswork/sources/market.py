@@ -15,27 +15,28 @@ from pyspark.sql import functions as F
 
 from ..functions.links import security_id
 from ..operators import quotes as q
+from ..operators.validate import REQUIRED
 
 QUOTE_URL, FIELDS, TIMEOUT_S = "https://push2.eastmoney.com/api/qt/ulist.np/get", "f12,f14,f2,f3,f4,f6,f124", 8
-INDEXES = [("上证指数", "000001", "1.000001"), ("深成指", "399001", "0.399001"), ("创业板指", "399006", "0.399006"), ("科创50", "000688", "1.000688")]
+INDEXES = [(name, code, f"{board}.{code}") for name, board, code in (row.split() for row in ("上证指数 1 000001", "深成指 0 399001", "创业板指 0 399006", "科创50 1 000688"))]
 HOLDING_SCHEMA = "ord long, code string, name string, market string, sector string, watch_tags array<string>, notes string"
 UNAVAILABLE = "行情数据源未返回可用数据，本次不做行情验证。"
 
 
 def normalize_holdings(payload: Mapping[str, Any]) -> list[tuple]:
     """Trimmed rows; ValueError where a required field is blank."""
-    rows = payload.get("holdings", [])
-    if not isinstance(rows, list):
+    rows = payload["holdings"] if "holdings" in payload else []
+    if type(rows) is not list:
         raise ValueError("holdings must be a list")
     out = []
     for i, row in enumerate(rows):
         if not isinstance(row, Mapping):
             raise ValueError(f"holdings[{i}] must be an object")
-        text = {c: str(row.get(c) or "").strip() for c in ("code", "name", "market", "sector", "notes")}
+        text = {c: str(row.get(c) or "").strip() for c in (*REQUIRED, "notes")}
         tags = row.get("watch_tags") or []
         if not isinstance(tags, list):
-            raise ValueError("holding.watch_tags must be a list")
-        if blank := [c for c in ("code", "name", "market", "sector") if not text[c]]:
+            raise ValueError(f"holdings[{i}].watch_tags isn't a list")
+        if blank := [c for c in REQUIRED if not text[c]]:
             raise ValueError(f"holdings[{i}] missing required fields: {', '.join(blank)}")
         out.append((i, text["code"], text["name"], text["market"], text["sector"], [t for t in (str(x or "").strip() for x in tags) if t], text["notes"]))
     return out
