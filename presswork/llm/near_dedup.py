@@ -4,7 +4,10 @@ A document's 256-bit SimHash is the weighted majority of its distinct words' has
 fingerprints under random permutations of the bits. A document climbs in each trie from deep prefixes to shorter
 ones until its subtree is as full as LEAF, or the prefix is the shortest with which, over all tries, a pair at the
 furthest distance still meets with probability RECALL; that depth follows the corpus' size, and the number of
-tries follows from depth and recall. What meets in a leaf is verified on all 256 bits, all pairs, with no cap.
+tries follows from depth and recall. What meets in a leaf is compared on all 256 bits, all pairs, with no cap.
+
+Fingerprints only find candidates: a few long words outvote all others, and long texts share their words without
+being copies. Texts are copies by their word pairs alone: of any two in a group of candidates these are compared in full.
 """
 
 from __future__ import annotations
@@ -19,15 +22,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import arrowtext as at
-from .shared import has, stage, without_ids
+from .shared import BROADCAST_IDS, has, stage, without_ids
 
 BITS, WORDS64 = 256, 4
-#: Bits in which two near copies differ at most: a cosine of 0.83 between their word sets.
+#: Bits in which two candidates differ at most: a cosine of 0.83 between their word sets.
 DISTANCE = 48
+#: Least Jaccard similarity of two copies' sets of word pairs (runs of two words; the word itself where there is but one).
+SHARE = 0.5
 #: Expected share of the pairs at DISTANCE that meet; closer pairs meet more surely.
 RECALL = 0.95
 #: Fingerprints of a leaf below the deepest level, and of a shuffled subtree.
 LEAF, SUBTREE = 256, 4096
+#: Words of the candidates that one task compares; a group of more is cut in blocks, any two of which meet in a task.
+TASK_WORDS = 1 << 22
 
 FP = [f"f{i}" for i in range(WORDS64)]
 _LANES = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
@@ -35,17 +42,25 @@ _SALT = [np.uint64(0x9E3779B97F4A7C15 * (i + 1) % 2**64) for i in range(WORDS64)
 _BLOCK = 80
 
 
-def simhash(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Fingerprints, rows x 4 words, of lower-case UTF-8 rows; all 0 for a row without words. Words of 6 bytes or more weigh 3."""
-    n = len(offsets) - 1
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the words of lower-case UTF-8 rows, their bytes, the rows' offsets in these)."""
     norm = at.WORDS[data]
     starts, ends, rows = at.tokens(norm, offsets)
+    return at.span_hash(at.prefix_sums(norm), starts, ends), ends - starts, rows
+
+
+def simhash(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Fingerprints, rows x 4 words, of lower-case UTF-8 rows; all 0 for a row without words. Words of 6 bytes or more weigh 3."""
+    return _votes(*word_hashes(data, offsets))
+
+
+def _votes(h: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    n = len(rows) - 1
     out = np.zeros((n, WORDS64), np.uint64)
-    if not len(starts):
+    if not len(h):
         return out
-    h = at.span_hash(at.prefix_sums(norm), starts, ends)
     row = np.repeat(np.arange(n, dtype=np.uint64), np.diff(rows))
-    key = (row << np.uint64(48)) | (h >> np.uint64(17) << np.uint64(1)) | (ends - starts >= 6).astype(np.uint64)
+    key = (row << np.uint64(48)) | (h >> np.uint64(17) << np.uint64(1)) | (sizes >= 6).astype(np.uint64)
     key.sort()
     key = key[np.concatenate(([True], key[1:] != key[:-1]))]
     row = (key >> np.uint64(48)).astype(np.int64)
@@ -70,19 +85,46 @@ def simhash(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def sequence_hash(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """A hash of each row's words in their order."""
+    return at.span_hash(at.sequence_sums(h), rows[:-1], rows[1:])
+
+
+def word_pairs(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct hashes of each row's runs of two words, or of its one word; the rows' offsets in these)."""
+    n = np.diff(rows)
+    row = np.repeat(np.arange(len(n)), n)
+    pair = h.copy()
+    pair[:-1] = at.mix(h[:-1] * np.uint64(at.BASE) + h[1:])
+    single = n[row] == 1
+    pair[single] = h[single]
+    keep = np.ones(len(h), bool)
+    keep[rows[1:][n > 1] - 1] = False  # a row's last word begins no pair
+    pair, row = pair[keep], row[keep]
+    order = np.lexsort((pair, row))
+    pair, row = pair[order], row[order]
+    new = np.ones(len(pair), bool)
+    new[1:] = (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])
+    return pair[new], np.concatenate(([0], np.cumsum(np.bincount(row[new], minlength=len(n)))))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, f0..f3. A null doc_id or a text without words (null and empty too) has no row: it is nobody's copy."""
+    """doc_id, f0..f3, seq (hash of the words in order), words. A null doc_id or a text without words (null and empty too) has no row: it is nobody's copy."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
             for lo, hi, data, offsets in at.chunks(batch.column("text"), lower=True):
-                fp = simhash(data, offsets)
-                some = np.flatnonzero(fp.any(axis=1))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).take(pa.array(some)), *[pa.array(fp[some, k].view(np.int64)) for k in range(WORDS64)]], ["doc_id", *FP])
+                h, sizes, rows = word_hashes(data, offsets)
+                fp = _votes(h, sizes, rows)
+                some = np.flatnonzero(np.diff(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(lo, hi - lo).take(pa.array(some)), *[pa.array(fp[some, k].view(np.int64)) for k in range(WORDS64)], pa.array(sequence_hash(h, rows)[some].view(np.int64)), pa.array(np.diff(rows)[some])],
+                    ["doc_id", *FP, "seq", "words"],
+                )
 
     few = has(docs, "doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    return few.mapInArrow(run, "doc_id long, f0 long, f1 long, f2 long, f3 long")
+    return few.mapInArrow(run, "doc_id long, f0 long, f1 long, f2 long, f3 long, seq long, words long")
 
 
 def forest_shape(n: int, distance: int = DISTANCE, recall: float = RECALL) -> tuple[int, int, int]:
@@ -189,18 +231,96 @@ def components(pairs: DataFrame) -> DataFrame:
         seen = tuple(now)
 
 
-def duplicates(docs: DataFrame, distance: int = DISTANCE, recall: float = RECALL) -> DataFrame:
+def alike(root: np.ndarray, offsets: np.ndarray, pairs: np.ndarray, share: float = SHARE) -> np.ndarray:
+    """For each row the first row of its component, where rows of one root that share enough of their word pairs are linked.
+
+    Exact: a row is held against all rows of its root that no component has yet, by an index of these rows' pairs.
+    """
+    n, size = len(root), np.diff(offsets)
+    row = np.repeat(np.arange(n), size)
+    key = at.mix(pairs ^ at.mix(root.view(np.uint64))[row])
+    order = np.argsort(key, kind="stable")
+    keys, rows = key[order], row[order]
+    label, free, left, indexed = np.arange(n), np.ones(n, bool), n, n
+    for seed in range(n):
+        if not free[seed]:
+            continue
+        free[seed], left, todo = False, left - 1, [seed]
+        while todo and left:
+            i = todo.pop()
+            own = key[offsets[i] : offsets[i + 1]]
+            lo, hi = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
+            many = hi - lo
+            met, shared = np.unique(rows[np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())], return_counts=True)
+            new = met[free[met] & (shared >= share * (size[i] + size[met] - shared))]
+            label[new], free[new] = seed, False
+            left -= len(new)
+            todo += new.tolist()
+            if 2 * left < indexed:
+                still = free[rows]
+                keys, rows, indexed = keys[still], rows[still], left
+    return label
+
+
+def verified(docs: DataFrame, texts: DataFrame, share: float = SHARE) -> DataFrame:
+    """(v, root) as components gives them: of texts (text, a doc_id; seq; words; root, of its group of candidates) each that has a lesser copy, with its component's least one."""
+    group = W.partitionBy("root")
+    few = stage(texts.withColumn("n", F.count("*").over(group)).withColumn("all", F.sum("words").over(group)).where("n > 1").drop("n"), "candidates")
+    count, words, most = few.agg(F.count("*"), F.sum("words"), F.max("all")).first()
+    large = F.col("all") > TASK_WORDS
+    few = few.select(
+        F.col("text").alias("id"), "seq", "root",
+        F.when(large, F.xxhash64("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(-(-(words or 0) // TASK_WORDS) or 1))).alias("node"),
+        F.when(large, F.ceil(2 * F.col("all") / TASK_WORDS)).otherwise(1).cast("long").alias("blocks"),
+    )
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in at.chunks(batch.column("text"), lower=True):
+                part = batch.slice(lo, hi - lo)
+                h, _, rows = word_hashes(data, offsets)
+                found, begins = word_pairs(h, rows)
+                column = pa.LargeListArray.from_arrays(pa.array(begins), pa.array(found.view(np.int64)))
+                own = pa.array(sequence_hash(h, rows).view(np.int64) == part.column("seq").to_numpy())  # a doc_id may stand for several texts
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("id", "root", "node", "blocks")], column.cast(pa.list_(pa.int64()))], ["id", "root", "node", "blocks", "pairs"]).filter(own)
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        ids, lists = table.column("id").to_numpy(), table.column("pairs").combine_chunks()
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        label = alike(table.column("root").to_numpy(), offsets - offsets[0], lists.flatten().to_numpy().view(np.uint64), share)
+        v, u = ids, ids[label]
+        return pa.table({"v": v[v != u], "u": u[v != u]})
+
+    side = F.broadcast(few) if count <= BROADCAST_IDS else few
+    own = has(docs, "doc_id", "text").where(F.col("text").isNotNull()).join(side, F.col("doc_id").cast("long") == F.col("id")).select("id", "seq", "root", "node", "blocks", "text")
+    sets = own.mapInArrow(pairs, "id long, root long, node long, blocks long, pairs array<long>")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    sets = sets.select("node", F.least(block, "other").alias("lo"), F.greatest(block, "other").alias("hi"), "id", "root", "pairs")
+    met = sets.groupBy("node", "lo", "hi").applyInArrow(compare, "v long, u long")
+    if (most or 0) > TASK_WORDS:
+        return components(met)
+    return met.select("v", F.col("u").alias("root")).distinct()
+
+
+def duplicates(docs: DataFrame, distance: int = DISTANCE, recall: float = RECALL, share: float = SHARE) -> DataFrame:
     """(doc_id, duplicate_of): every document that is an exact or near copy, with the least doc_id of its group, which stays.
 
-    Groups are the connected components of verified pairs. Null and wordless texts and null ids belong to none;
-    rows that share a doc_id are one document; an empty table gives an empty result; other columns are ignored.
+    Fingerprints within distance make groups of candidates; of these, the texts whose sets of word pairs have a Jaccard similarity of share
+    or more are linked, and a group is a connected component of them. Texts of the same words in the same order are exact copies.
+    Null and wordless texts and null ids belong to none; rows that share a doc_id are one document; an empty table gives an empty result;
+    other columns are ignored.
     """
     same = W.partitionBy(*FP)
-    groups = stage(fingerprints(docs).withColumn("id", F.min("doc_id").over(same)), "fingerprints")
+    groups = fingerprints(docs).withColumn("id", F.min("doc_id").over(same)).withColumn("text", F.min("doc_id").over(W.partitionBy(*FP, "seq")))
+    groups = stage(groups, "fingerprints")
     reps = groups.where("doc_id = id").select("id", *FP).distinct()
     roots = components(links(reps, reps.count(), distance, recall))
-    joined = groups.select("doc_id", "id").join(roots, groups["id"] == roots["v"], "left")
-    return joined.select("doc_id", F.coalesce("root", "id").alias("duplicate_of")).where("doc_id <> duplicate_of").distinct()
+    texts = groups.where("doc_id = text").select("text", "id", "seq", "words").distinct().join(roots, F.col("id") == F.col("v"), "left")
+    copies = verified(docs, texts.select("text", "seq", "words", F.coalesce("root", "id").alias("root")), share)
+    joined = groups.select("doc_id", "text").join(copies, groups["text"] == copies["v"], "left")
+    return joined.select("doc_id", F.coalesce("root", "text").alias("duplicate_of")).where("doc_id <> duplicate_of").distinct()
 
 
 def dedup(docs: DataFrame) -> DataFrame:
