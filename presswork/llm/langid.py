@@ -242,7 +242,7 @@ def samples(docs: DataFrame, bound: int = TRAIN_DOCS) -> dict[str, list[str]]:
     out: dict[str, list[str]] = {}
     for r in labelled.where(wanted).select("doc_id", "text", "lang").orderBy("doc_id", "text").collect():
         out.setdefault(r["lang"], []).append(r["text"])
-    return {k: v for k, v in out.items() if any(not t.isspace() and t for t in v[: HELD_OUT - 1])}
+    return {k: v for k, v in out.items() if any(not t.isspace() and t for i, t in enumerate(v) if i % HELD_OUT != HELD_OUT - 1)}
 
 
 
