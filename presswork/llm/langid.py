@@ -19,8 +19,11 @@ ORDER, DISCOUNT = 4, 0.75
 TRAIN_DOCS = 400
 #: Every HELD_OUT-th of them calibrates the rejection.
 HELD_OUT = 4
-#: A text is rejected beyond SLACK times the worst score of the held-out documents.
-SLACK = 1.5
+#: A text is rejected beyond LIMIT spreads of its language, or more where the held-out scores' TAIL quantile lies beyond a normal one's (TAIL_NORMAL).
+#: Centre, spread and quantile bear wrong labels on nearly a tenth of the held-out documents.
+LIMIT, TAIL, TAIL_NORMAL = 12.0, 0.9, 1.2816
+#: Median of absolute deviations to standard deviation.
+_MAD = 1.4826
 
 _SPACE, _DIGIT, _OTHER = 1, 2, 3
 
@@ -186,7 +189,7 @@ def squeeze(points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Identifier:
-    """Models and, for each language, the mean and spread by which an entropy is judged."""
+    """Models and, for each language, the centre, spread and limit by which an entropy is judged."""
 
     def __init__(self, samples: dict[str, list[str]]) -> None:
         fit: dict[str, list[np.ndarray]] = {}
@@ -206,18 +209,21 @@ class Identifier:
         offsets = np.concatenate(([0], np.cumsum([len(t.encode("utf-8", "replace")) for _, t in held]))).astype(np.int64)
         h, n, _ = self.models.entropies(data, offsets) if held else (np.zeros((0, len(langs))), np.zeros(0), None)
         self.mean, self.a, self.b = np.full(len(langs), 0.5 * np.log2(len(langs) + 256)), np.ones(len(langs)), np.full(len(langs), 16.0)
-        worst = 1.0
+        self.limit = np.full(len(langs), LIMIT)
+        calibrated = np.zeros(len(langs), bool)
         for i, lang in enumerate(langs):
             own = np.array([k for k, (x, _) in enumerate(held) if x == lang and n[k] > 0], np.int64)
             if len(own) < 4:
                 continue
             e, size = h[own, i], n[own]
-            self.mean[i] = np.average(e, weights=size)
-            off = (e - self.mean[i]) ** 2
-            self.b[i] = max(1.0, np.average(off * size))  # the spread of a text of n characters has variance a + b / n
-            self.a[i] = max(0.01, np.average(off, weights=size))
-            worst = max(worst, float(np.max((e - self.mean[i]) / np.sqrt(self.a[i] + self.b[i] / size))))
-        self.limit = SLACK * worst
+            self.mean[i] = np.median(e)
+            off = (_MAD * (e - self.mean[i])) ** 2
+            self.b[i] = max(1.0, np.median(off * size))  # the spread of a text of n characters has variance a + b / n
+            self.a[i] = max(0.01, np.median(off))
+            tail = float(np.quantile((e - self.mean[i]) / np.sqrt(self.a[i] + self.b[i] / size), TAIL))
+            self.limit[i], calibrated[i] = LIMIT * max(1.0, tail / TAIL_NORMAL), True
+        if calibrated.any():
+            self.limit[~calibrated] = self.limit[calibrated].max()
 
     def judge(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(best language's place, its bits a character, bits to the next language, accepted) of the rows."""
@@ -226,7 +232,7 @@ class Identifier:
         least = h[np.arange(len(h)), best]
         margin = np.sort(h, axis=1)[:, 1] - least if h.shape[1] > 1 else np.zeros(len(h))
         score = (least - self.mean[best]) / np.sqrt(self.a[best] + self.b[best] / np.maximum(n, 1))
-        return best, least, margin, (letters > 0) & (score <= self.limit)
+        return best, least, margin, (letters > 0) & (score <= self.limit[best])
 
 
 def samples(docs: DataFrame, bound: int = TRAIN_DOCS) -> dict[str, list[str]]:
