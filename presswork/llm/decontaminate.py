@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
+from itertools import groupby
 
 import ahocorasick
 import numpy as np
@@ -18,7 +20,8 @@ from .shared import has, without_ids
 WINDOW = 8
 #: A text of fewer words than this counts only where it is all that a document says.
 LEAST_WORDS = 3
-#: Characters of patterns that one automaton holds (about 50 bytes each in a worker); beyond it, the benchmark must be split by its caller.
+#: Characters of patterns that one automaton holds (about 50 bytes each in a worker); beyond it, the benchmark's items are spread over several,
+#: each with a scan of its own. An item of more has an automaton to itself.
 MAX_PATTERN_CHARS = 16_000_000
 
 _SPACE, _EDGE = 32, 10
@@ -86,6 +89,23 @@ def patterns(items: list[tuple[int, str]], window: int = WINDOW, least: int = LE
     return {k: sorted(v) for k, v in out.items()}
 
 
+def parts(items: Iterator[tuple[int, str]], window: int = WINDOW, least: int = LEAST_WORDS) -> Iterator[dict[str, list[int]]]:
+    """The patterns of items, sorted by item, in dictionaries of MAX_PATTERN_CHARS; an item's patterns stay together."""
+    part: dict[str, list[int]] = {}
+    chars = 0
+    for _, same in groupby(items, lambda x: x[0]):
+        own = patterns(list(same), window, least)
+        more = sum(len(k) for k in own if k not in part)
+        if part and chars + more > MAX_PATTERN_CHARS:
+            yield part
+            part, chars, more = {}, 0, sum(map(len, own))
+        for k, v in own.items():
+            part.setdefault(k, []).extend(v)
+        chars += more
+    if part:
+        yield part
+
+
 _BUILT: dict[int, ahocorasick.Automaton] = {}
 
 
@@ -118,22 +138,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: in
     Null and empty texts and items, and a null item_id, have no leaks; a null doc_id is carried along; repeated rows give the same rows
     again; an empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
-    items = [(r["item_id"], r["text"]) for r in has(benchmark, "item_id", "text").where("item_id is not null and text is not null").distinct().toLocalIterator()]
-    found = patterns(items, window, least)
-    if sum(map(len, found)) > MAX_PATTERN_CHARS:
-        raise ValueError(f"the benchmark has {sum(map(len, found))} characters of patterns, over MAX_PATTERN_CHARS; pass it in parts")
-    shared = _Shared(spark.sparkContext.broadcast(found))
+    found = [_leaks_of(docs, shared) for shared in _shared(docs, benchmark, window, least)]
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], _LEAK)
+
+
+_LEAK = "doc_id long, item_id long, start long, end long"
+
+
+def _shared(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST_WORDS) -> list[_Shared]:
+    items = ((r["item_id"], r["text"]) for r in has(benchmark, "item_id", "text").where("item_id is not null and text is not null").distinct().orderBy("item_id").toLocalIterator())
+    return [_Shared(docs.sparkSession.sparkContext.broadcast(part)) for part in parts(items, window, least)]
+
 
+def _leaks_of(docs: DataFrame, shared: _Shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
             for lo, _hi, data, offsets in at.chunks(batch.column("text"), limit=1 << 20):
-                row, item, start, end = _scan(_automaton(shared), data, offsets) if found else _NONE
+                row, item, start, end = _scan(_automaton(shared), data, offsets)
                 if len(row):
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(lo + row)), pa.array(item), pa.array(start), pa.array(end)], ["doc_id", "item_id", "start", "end"])
 
-    return has(docs, "doc_id", "text").where(F.col("text").isNotNull()).mapInArrow(run, "doc_id long, item_id long, start long, end long")
+    return has(docs, "doc_id", "text").where(F.col("text").isNotNull()).mapInArrow(run, _LEAK)
 
 
 _NONE = (np.empty(0, np.int64),) * 4
