@@ -194,8 +194,25 @@ def _scan(machine: ahocorasick.Automaton, data: np.ndarray, offsets: np.ndarray)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those in which leaks finds something."""
-    return without_ids(docs, leaks(docs, benchmark).where("doc_id is not null").select("doc_id"))
+    """docs without those in which leaks finds something. Rows that share a doc_id go together; rows with a null one are judged each by its own text."""
+    shared = _shared(docs, benchmark)
+    gone = reduce(DataFrame.unionByName, [_leaks_of(docs, x) for x in shared]) if shared else docs.sparkSession.createDataFrame([], _LEAK)
+    named = without_ids(docs.where(docs["doc_id"].isNotNull()), gone.where("doc_id is not null").select("doc_id"))
+    rest = docs.where(docs["doc_id"].isNull())
+    for x in shared:
+        rest = _free_of(rest, x)
+    return named.unionByName(rest)
+
+
+def _free_of(docs: DataFrame, shared: _Shared) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for lo, _hi, data, offsets in at.chunks(batch.column("text"), limit=1 << 20):
+                keep[lo + _scan(_automaton(shared), data, offsets)[0]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 _WORD = r"[\p{L}\p{M}\p{N}]+"
