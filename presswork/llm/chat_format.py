@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import arrowtext as at
 from .shared import has
 
 TURN, END, NULL = "<|turn|>", "<|end|>", "<|null|>"
@@ -94,6 +95,7 @@ def chat(conversations: DataFrame) -> DataFrame:
     few = has(conversations, "conv_id", "turn", "role", "text")
     turns = few.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
+    @at.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # whole conversations, from the flat columns

@@ -184,6 +184,7 @@ def labelled(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Gam | None:
     """The model; none where no document is labelled."""
 
+    @at.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in at.chunks(batch.column("text")):
@@ -208,6 +209,7 @@ def score(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, keep: flo
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, bound))
 
+    @at.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Gam | None = model.value
         for batch in batches:
