@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .shared import has
+from .shared import filter_texts, has
 
 #: Characters of the longest n-gram, and the discount of every order.
 ORDER, DISCOUNT = 4, 0.75
@@ -28,10 +28,14 @@ _MAD = 1.4826
 _SPACE, _DIGIT, _OTHER = 1, 2, 3
 
 
+#: Code points from here on are private, tags or unassigned: signs.
+_BEYOND = 0x32400
+
+
 def _fold_table() -> np.ndarray:
-    """Basic-plane code points as lower case; white space, digits and all else (signs, other planes) as one symbol each."""
-    table = np.full(65537, _OTHER, np.uint32)
-    for c in range(65536):
+    """Letters and marks of all planes in lower case; white space, digits and all else (signs) as one symbol each."""
+    table = np.full(0x110000, _OTHER, np.uint32)
+    for c in range(_BEYOND):
         ch = chr(c)
         kind = unicodedata.category(ch)
         if ch.isspace() or kind[0] in "ZC":
@@ -50,7 +54,7 @@ _FOLD: list[np.ndarray] = []
 def fold(points: np.ndarray) -> np.ndarray:
     if not _FOLD:
         _FOLD.append(_fold_table())
-    return _FOLD[0][np.minimum(points, 65536)]
+    return _FOLD[0][points]
 
 
 class HashArray:
@@ -80,42 +84,58 @@ class HashArray:
         return out
 
 
+_STEP = np.uint64(at.BASE)
+
+
+def rolling(stream: np.ndarray, order: int) -> list[np.ndarray]:
+    """For k = 1 to order the 64-bit hashes of the k characters that end at each place, whatever their code points; the first k - 1 places mean nothing."""
+    one = at.mix(stream.astype(np.uint64))
+    out = [one]
+    for _ in range(1, order):
+        longer = one.copy()
+        longer[1:] += out[-1][:-1] * _STEP
+        out.append(longer)
+    return out
+
+
 class Models:
     """For each order the n-grams of all languages in one hash array, with every language's log probabilities beside them."""
 
     def __init__(self, streams: dict[str, list[np.ndarray]], order: int = ORDER, discount: float = DISCOUNT) -> None:
         self.order, self.langs = order, sorted(streams)
-        used = np.unique(np.concatenate([np.concatenate(s) for s in streams.values()]))
-        count = np.bincount(np.searchsorted(used, np.concatenate([np.concatenate(s) for s in streams.values()])))
-        kept = np.sort(used[np.argsort(-count, kind="stable")[: (1 << (64 // order)) - 2]])
-        self.symbols = np.ones(65537, np.uint64)  # 1: a character that the models don't know
-        self.symbols[kept] = np.arange(2, len(kept) + 2, dtype=np.uint64)
-        self.bits = np.uint64(64 // order)
-        n, size = len(self.langs), len(kept) + 2
-        grams = {lang: [np.unique(np.concatenate([self.grams(self.symbols[s], k) for s in streams[lang]]), return_counts=True) for k in range(1, order + 1)] for lang in self.langs}
-        for lang in self.langs:  # below the highest order an n-gram counts the characters seen before it
-            for k in range(order - 1):
-                longer = grams[lang][k + 1][0]
-                low, c = np.unique(longer & ((np.uint64(1) << self.bits * np.uint64(k + 1)) - np.uint64(1)), return_counts=True)
-                grams[lang][k] = (low, c)
+        n, size = len(self.langs), len(np.unique(np.concatenate([np.concatenate(s) for s in streams.values()]))) + 2
+        # of each language and order: n-grams, their counts, and the hashes of what stands before their last character and after their first
+        grams: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for lang in self.langs:
+            hashes = rolling(np.concatenate(streams[lang]), order)
+            sizes = np.array([len(s) for s in streams[lang]])
+            within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            grams[lang] = []
+            for k in range(1, order + 1):
+                place = np.flatnonzero(within >= min(k, order - 1))
+                if k < order:  # below the highest order an n-gram counts the characters seen before it
+                    place = place[np.unique(hashes[k][place], return_index=True)[1]]
+                keys, first, c = np.unique(hashes[k - 1][place], return_index=True, return_counts=True)
+                place, none = place[first], np.zeros(len(keys), np.uint64)
+                grams[lang].append((keys, c, hashes[k - 2][place - 1] if k > 1 else none, hashes[k - 2][place] if k > 1 else none))
         self.arrays: list[HashArray] = []
         self.logs: list[np.ndarray] = []
         self.contexts: list[HashArray] = []
         self.backoff: list[np.ndarray] = []
-        below_keys, below = np.empty(0, np.uint64), np.full((1, n), 1.0 / size)
+        below_keys, below = np.zeros(1, np.uint64), np.full((1, n), 1.0 / size)
         for k in range(1, order + 1):
-            keys = np.unique(np.concatenate([grams[lang][k - 1][0] for lang in self.langs]))
-            heads = np.unique(keys >> self.bits)
+            keys, first = np.unique(np.concatenate([grams[lang][k - 1][0] for lang in self.langs]), return_index=True)
+            heads_of, tails_of = (np.concatenate([grams[lang][k - 1][x] for lang in self.langs])[first] for x in (2, 3))
+            heads = np.unique(heads_of)
             p, gamma = np.zeros((len(keys), n)), np.ones((len(heads), n))
             for i, lang in enumerate(self.langs):
-                own, c = grams[lang][k - 1]
-                head = np.searchsorted(heads, own >> self.bits)
+                own, c, own_heads, _ = grams[lang][k - 1]
+                head = np.searchsorted(heads, own_heads)
                 total, kinds = np.bincount(head, c, len(heads)), np.bincount(head, minlength=len(heads))
                 seen = total > 0
                 gamma[seen, i] = discount * kinds[seen] / total[seen]
                 p[np.searchsorted(keys, own), i] = np.maximum(c - discount, 0) / total[head]
-            tail = np.searchsorted(below_keys, keys & ((np.uint64(1) << self.bits * np.uint64(k - 1)) - np.uint64(1))) if k > 1 else np.zeros(len(keys), np.int64)
-            p += gamma[np.searchsorted(heads, keys >> self.bits)] * below[tail]
+            p += gamma[np.searchsorted(heads, heads_of)] * below[np.searchsorted(below_keys, tails_of)]
             array, context = HashArray(keys), HashArray(heads)
             self.arrays.append(array)
             self.logs.append(np.log2(p[array.order]).astype(np.float32))
@@ -124,27 +144,25 @@ class Models:
             below_keys, below = keys, p
         self.unseen = np.float32(np.log2(1.0 / size))
 
-    def grams(self, symbols: np.ndarray, k: int) -> np.ndarray:
-        out = symbols[: max(0, len(symbols) - k + 1)].copy()
-        for j in range(1, k):
-            out = (out << self.bits) | symbols[j : len(symbols) - k + 1 + j]
-        return out
-
-    def log_probability(self, grams: np.ndarray) -> np.ndarray:
-        """log2 of each highest-order n-gram's last character after the others, n-grams x languages."""
-        out = np.zeros((len(grams), len(self.langs)), np.float32)
-        left = np.arange(len(grams))
+    def log_probability(self, stream: np.ndarray) -> np.ndarray:
+        """log2 of each character after the order - 1 before it, from the first that has so many, characters x languages."""
+        lead = self.order - 1
+        n = max(0, len(stream) - lead)
+        out = np.zeros((n, len(self.langs)), np.float32)
+        if not n:
+            return out
+        hashes = rolling(stream, self.order)
+        left = np.arange(n)
         for k in range(self.order, 0, -1):
-            key = grams[left] & ((np.uint64(1) << self.bits * np.uint64(k)) - np.uint64(1)) if k * int(self.bits) < 64 else grams[left]
-            place = self.arrays[k - 1].find(key)
+            place = self.arrays[k - 1].find(hashes[k - 1][left + lead])
             hit = place >= 0
-            if hit.all() and len(left) == len(grams):
+            if hit.all() and len(left) == n:
                 return self.logs[k - 1][place]
             out[left[hit]] += self.logs[k - 1][place[hit]]
-            left, key = left[~hit], key[~hit]
+            left = left[~hit]
             if not len(left):
                 return out
-            head = self.contexts[k - 1].find(key >> self.bits)
+            head = self.contexts[k - 1].find(hashes[k - 2][left + lead - 1] if k > 1 else np.zeros(len(left), np.uint64))
             known = head >= 0
             out[left[known]] += self.backoff[k - 1][head[known]]
         out[left] += self.unseen
@@ -154,11 +172,9 @@ class Models:
         """(bits a character for each row and language, characters, letters) of UTF-8 rows; white space runs count as one character."""
         points, rows = at.code_points(data, offsets)
         stream, rows, letters = squeeze(points, rows)
-        symbols = self.symbols[stream]
-        grams = self.grams(symbols, self.order)
         lead = self.order - 1
         # each row's first characters have the padding that squeeze puts before a row as their context
-        logs = self.log_probability(grams)
+        logs = self.log_probability(stream)
         begin, end = rows[:-1], np.maximum(rows[1:] - lead, rows[:-1])
         total = np.zeros((len(begin), len(self.langs)))
         some = np.flatnonzero(end > begin)
@@ -225,18 +241,18 @@ class Identifier:
         if calibrated.any():
             self.limit[~calibrated] = self.limit[calibrated].max()
 
-    def judge(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(best language's place, its bits a character, bits to the next language, accepted) of the rows."""
+    def judge(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(best language's place, its bits a character, bits to the next language, accepted, whether there are letters) of the rows."""
         h, n, letters = self.models.entropies(data, offsets)
         best = h.argmin(axis=1)
         least = h[np.arange(len(h)), best]
         margin = np.sort(h, axis=1)[:, 1] - least if h.shape[1] > 1 else np.zeros(len(h))
         score = (least - self.mean[best]) / np.sqrt(self.a[best] + self.b[best] / np.maximum(n, 1))
-        return best, least, margin, (letters > 0) & (score <= self.limit[best])
+        return best, least, margin, (letters > 0) & (score <= self.limit[best]), letters > 0
 
 
 def samples(docs: DataFrame, bound: int = TRAIN_DOCS) -> dict[str, list[str]]:
-    """At most about bound texts of each language, whole, chosen by the ids' hashes alone."""
+    """At most about bound texts of each language, whole, chosen by the ids' hashes alone; a language has none where all that would be fitted on is blank."""
     labelled = has(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     counts = {r["lang"]: r["n"] for r in has(docs, "doc_id", "lang").where("lang is not null and doc_id is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -251,17 +267,15 @@ def samples(docs: DataFrame, bound: int = TRAIN_DOCS) -> dict[str, list[str]]:
     return {k: v for k, v in out.items() if any(not t.isspace() and t for i, t in enumerate(v) if i % HELD_OUT != HELD_OUT - 1)}
 
 
-
-
-
 def identify(docs: DataFrame, bound: int = TRAIN_DOCS) -> DataFrame:
     """(doc_id, language, bits_per_char, margin, accepted) for every row of docs.
 
     The models are fitted on at most about bound documents of each value of lang. Null, empty and letterless texts have language null
-    and aren't accepted; so has every row where no row is labelled. A null doc_id is carried along; rows that repeat are judged alike;
-    ties of entropy go to the language that sorts first. An empty table gives an empty result; other columns are ignored.
+    and aren't accepted; so has every row where no language can be fitted. Characters are those of any plane. A very long
+    text is judged whole, as a run of its own. A null doc_id is carried along; rows that repeat are judged alike; ties of entropy go to the language
+    that sorts first. An empty table gives an empty result; other columns, whatever their names, are ignored.
     """
-    return has(docs, "doc_id", "text").mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(fitted(docs, bound)), keep=False), "doc_id long, language string, bits_per_char double, margin double, accepted boolean")
+    return has(docs, "doc_id", "text").mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(fitted(docs, bound))), "doc_id long, language string, bits_per_char double, margin double, accepted boolean")
 
 
 def fitted(docs: DataFrame, bound: int = TRAIN_DOCS) -> Identifier | None:
@@ -269,35 +283,38 @@ def fitted(docs: DataFrame, bound: int = TRAIN_DOCS) -> Identifier | None:
     return Identifier(found) if found else None
 
 
-def _scorer(shared, keep: bool):
+def _scorer(shared):
+    @at.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Identifier | None = shared.value
         for batch in batches:
-            for lo, hi, data, offsets in at.chunks(batch.column("text"), limit=(1 << 20)):
+            for lo, hi, data, offsets in at.chunks(batch.column("text")):
                 n = hi - lo
                 if own is None:
-                    best, bits, margin, good = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n, bool)
+                    best, bits, margin, good, lettered = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n, bool), np.zeros(n, bool)
                     langs = np.array([""], object)
                 else:
-                    best, bits, margin, good = own.judge(data, offsets)
+                    best, bits, margin, good, lettered = own.judge(data, offsets)
                     langs = np.array(own.models.langs, object)
-                if keep:
-                    yield batch.slice(lo, n).filter(pa.array(good))
-                    continue
-                _, rows = at.code_points(data, offsets)
-                none = ~good if own is None else _letterless(data, offsets)
                 name = langs[best]
-                name[none] = None
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n).cast(pa.int64()), pa.array(name, pa.string()), pa.array(bits, mask=none), pa.array(margin, mask=none), pa.array(good)], ["doc_id", "language", "bits_per_char", "margin", "accepted"])
+                name[~lettered] = None
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n).cast(pa.int64()), pa.array(name, pa.string()), pa.array(bits, mask=~lettered), pa.array(margin, mask=~lettered), pa.array(good)], ["doc_id", "language", "bits_per_char", "margin", "accepted"])
 
     return run
 
 
-def _letterless(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    points, rows = at.code_points(data, offsets)
-    return np.diff(np.concatenate(([0], np.cumsum(fold(points) > _OTHER)))[rows]) == 0
+def accept(docs: DataFrame, bound: int = TRAIN_DOCS) -> DataFrame:
+    """docs, all columns as they are, without the rows that identify doesn't accept: null, empty and letterless texts go, and all rows where none is labelled.
+
+    Each row is judged by its own text: rows that repeat or share a doc_id, and null ids, as any others. An empty table gives an empty one.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, bound))
 
+    def judge(texts: pa.Array) -> np.ndarray:
+        good = np.zeros(len(texts), bool)
+        if shared.value is not None:
+            for lo, hi, data, offsets in at.chunks(texts):
+                good[lo:hi] = shared.value.judge(data, offsets)[3]
+        return good
 
-def accept(docs: DataFrame, bound: int = TRAIN_DOCS) -> DataFrame:
-    """docs without the rows that identify doesn't accept."""
-    return docs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(fitted(docs, bound)), keep=True), docs.schema)
+    return filter_texts(docs, judge)
