@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from . import arrowtext as at
 from .shared import BROADCAST_IDS, has, stage, without_ids
@@ -35,6 +36,8 @@ RECALL = 0.95
 LEAF, SUBTREE = 256, 4096
 #: Words of the candidates that one task compares; a group of more is cut in blocks, any two of which meet in a task.
 TASK_WORDS = 1 << 22
+#: Words of the groups of candidates that a task indexes at a time; a larger group is indexed whole.
+STEP_WORDS = 1 << 18
 
 FP = [f"f{i}" for i in range(WORDS64)]
 _LANES = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
@@ -44,8 +47,7 @@ _BLOCK = 80
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of the words of lower-case UTF-8 rows, their bytes, the rows' offsets in these)."""
-    norm = at.WORDS[data]
-    starts, ends, rows = at.tokens(norm, offsets)
+    norm, starts, ends, rows = at.words_of(data, offsets)
     return at.span_hash(at.prefix_sums(norm), starts, ends), ends - starts, rows
 
 
@@ -111,6 +113,7 @@ def word_pairs(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, f0..f3, seq (hash of the words in order), words. A null doc_id or a text without words (null and empty too) has no row: it is nobody's copy."""
 
+    @at.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
@@ -145,23 +148,40 @@ def _permuted(fp: np.ndarray, trie: int) -> np.ndarray:
     return key
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The bits in which each of a differs from each of b."""
+    out = np.zeros((len(a), len(b)), np.uint16)
+    for k in range(WORDS64):
+        out += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
+    return out
+
+
 def _linked(fp: np.ndarray, distance: int) -> np.ndarray:
-    """For each row the first row of its component, where rows within distance are linked; all pairs are compared."""
-    n = len(fp)
-    label = np.arange(n)
-    step = max(1, (1 << 19) // max(n, 1))
-    for lo in range(0, n, step):
-        hi = min(n, lo + step)
-        apart = np.zeros((hi - lo, hi), np.uint16)
-        for k in range(WORDS64):
-            apart += np.bitwise_count(fp[lo:hi, k, None] ^ fp[None, :hi, k])
-        near = apart <= distance
-        near &= np.arange(hi)[None, :] < np.arange(lo, hi)[:, None]
+    """For each row the first row of its component, where rows within distance are linked.
+
+    Exact: a row is held against all rows that come after it but those that are known to be in its component. Once one component has most of what is left, its
+    rows are held against the others alone, so that a dense family of rows costs the family times the few others, not its square.
+    """
+    label, left = np.arange(len(fp)), np.arange(len(fp))
+    while len(left) > 1:
+        own = label[left]
+        counts = np.bincount(own)
+        most = int(counts.argmax())
+        if 2 * counts[most] > len(left):
+            others = left[own != most]
+            if not len(others):
+                break
+            block, columns = left[own == most][: max(1, (1 << 19) // len(others))], others
+        else:
+            block, columns = left[: max(1, (1 << 19) // len(left))], left
+        near = _apart(fp[block], fp[columns]) <= distance
+        if columns is left:
+            near &= np.arange(len(left))[None, :] > np.arange(len(block))[:, None]
         for i in np.flatnonzero(near.any(axis=1)):
-            met = np.unique(label[np.flatnonzero(near[i])])
-            label[lo + i] = met[0]
+            met = np.unique(label[np.append(columns[near[i]], block[i])])
             if len(met) > 1:
                 label[np.isin(label, met)] = met[0]
+        left = left[len(block) :] if columns is left else left[~np.isin(left, block)]
     return label
 
 
@@ -184,6 +204,7 @@ def links(reps: DataFrame, n: int, distance: int = DISTANCE, recall: float = REC
     """Pairs (v, u), u < v, of distinct fingerprints' ids that lie within distance, enough to connect whatever met in a leaf."""
     short, deep, tries = forest_shape(n, distance, recall)
 
+    @at.tidy
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -194,6 +215,7 @@ def links(reps: DataFrame, n: int, distance: int = DISTANCE, recall: float = REC
                 node = (key >> np.uint64(64 - short) if short else np.zeros(len(key), np.uint64)).astype(np.int64) * tries + t
                 yield pa.RecordBatch.from_arrays([pa.array(node), *batch.columns], ["node", "id", *FP])
 
+    @at.tidy_groups
     def climb(table: pa.Table) -> pa.Table:
         fp = np.stack([table.column(c).to_numpy().view(np.uint64) for c in FP], axis=1)
         ids = table.column("id").to_numpy()
@@ -214,16 +236,20 @@ def links(reps: DataFrame, n: int, distance: int = DISTANCE, recall: float = REC
     return planted.groupBy("node").applyInArrow(climb, "v long, u long").distinct()
 
 
+def _least_of(edges: DataFrame) -> DataFrame:
+    """(v, u, m): the edges with v's least neighbour. An aggregate, whose parts are combined before the shuffle, and a join: no task holds all edges of a hub."""
+    least = edges.groupBy(F.col("v").alias("_v")).agg(F.min("u").alias("m"))
+    return edges.join(least, F.col("v") == F.col("_v")).select("v", "u", "m")
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(v, root): each id but a component's least one with that least id, by alternating large and small stars until nothing changes."""
     edges = stage(pairs.select("v", "u").distinct(), "edges")
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = F.least(F.col("v"), F.min("u").over(W.partitionBy("v")))
-        large = both.withColumn("m", least).where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
-        m = F.min("u").over(W.partitionBy("v"))
-        small = large.withColumn("m", m)
+        large = _least_of(both).where("u > v").select(F.col("u").alias("v"), F.least("v", "m").alias("u")).where("v <> u").distinct()
+        small = _least_of(large)
         edges = stage(small.select("v", F.col("m").alias("u")).unionByName(small.select(F.col("u").alias("v"), F.col("m").alias("u"))).where("v <> u").distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
@@ -262,10 +288,22 @@ def alike(root: np.ndarray, offsets: np.ndarray, pairs: np.ndarray, share: float
     return label
 
 
+def _runs_of(cuts: np.ndarray, before: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that begin and end at cuts, of STEP_WORDS words or fewer unless what lies between two cuts has more."""
+    lo = 0
+    while lo < n:
+        k = int(np.searchsorted(cuts, np.searchsorted(before, before[lo] + STEP_WORDS, "right"), "left")) - 1
+        hi = int(cuts[k]) if k >= 0 and cuts[k] > lo else int(next((c for c in cuts[np.searchsorted(cuts, lo, "right") :][:1]), n))
+        if before[n] - before[lo] <= STEP_WORDS:
+            hi = n
+        yield lo, hi
+        lo = hi
+
+
 def verified(docs: DataFrame, texts: DataFrame, share: float = SHARE) -> DataFrame:
     """(v, root) as components gives them: of texts (text, a doc_id; seq; words; root, of its group of candidates) each that has a lesser copy, with its component's least one."""
-    group = W.partitionBy("root")
-    few = stage(texts.withColumn("n", F.count("*").over(group)).withColumn("all", F.sum("words").over(group)).where("n > 1").drop("n"), "candidates")
+    group = texts.groupBy(F.col("root").alias("_root")).agg(F.count("*").alias("n"), F.sum("words").alias("all")).where("n > 1").drop("n")
+    few = stage(texts.join(group, F.col("root") == F.col("_root")).drop("_root"), "candidates")
     count, words, most = few.agg(F.count("*"), F.sum("words"), F.max("all")).first()
     large = F.col("all") > TASK_WORDS
     few = few.select(
@@ -274,6 +312,7 @@ def verified(docs: DataFrame, texts: DataFrame, share: float = SHARE) -> DataFra
         F.when(large, F.ceil(2 * F.col("all") / TASK_WORDS)).otherwise(1).cast("long").alias("blocks"),
     )
 
+    @at.tidy
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in at.chunks(batch.column("text"), lower=True):
@@ -284,13 +323,21 @@ def verified(docs: DataFrame, texts: DataFrame, share: float = SHARE) -> DataFra
                 own = pa.array(sequence_hash(h, rows).view(np.int64) == part.column("seq").to_numpy())  # a doc_id may stand for several texts
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("id", "root", "node", "blocks")], column.cast(pa.list_(pa.int64()))], ["id", "root", "node", "blocks", "pairs"]).filter(own)
 
+    @at.tidy_groups
     def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        ids, lists = table.column("id").to_numpy(), table.column("pairs").combine_chunks()
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        label = alike(table.column("root").to_numpy(), offsets - offsets[0], lists.flatten().to_numpy().view(np.uint64), share)
-        v, u = ids, ids[label]
-        return pa.table({"v": v[v != u], "u": u[v != u]})
+        ids, root = table.column("id").to_numpy(), table.column("root").to_numpy()
+        order = np.lexsort((ids, root))
+        size = np.asarray(pc.list_value_length(table.column("pairs"))).astype(np.int64)[order]
+        ids, root = ids[order], root[order]
+        below, above = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        cuts = np.flatnonzero(np.concatenate(([True], root[1:] != root[:-1])))
+        for lo, hi in _runs_of(cuts, np.concatenate(([0], np.cumsum(size))), len(ids)):  # a few groups at a time, each whole
+            lists = table.column("pairs").take(pa.array(order[lo:hi])).combine_chunks()
+            label = alike(root[lo:hi], np.concatenate(([0], np.cumsum(size[lo:hi]))), lists.flatten().to_numpy().view(np.uint64), share)
+            joined = np.flatnonzero(label != np.arange(hi - lo))
+            above.append(ids[lo:hi][joined])
+            below.append(ids[lo:hi][label[joined]])
+        return pa.table({"v": np.concatenate(above), "u": np.concatenate(below)})
 
     side = F.broadcast(few) if count <= BROADCAST_IDS else few
     own = has(docs, "doc_id", "text").where(F.col("text").isNotNull()).join(side, F.col("doc_id").cast("long") == F.col("id")).select("id", "seq", "root", "node", "blocks", "text")
@@ -308,21 +355,29 @@ def duplicates(docs: DataFrame, distance: int = DISTANCE, recall: float = RECALL
     """(doc_id, duplicate_of): every document that is an exact or near copy, with the least doc_id of its group, which stays.
 
     Fingerprints within distance make groups of candidates; of these, the texts whose sets of word pairs have a Jaccard similarity of share
-    or more are linked, and a group is a connected component of them. Texts of the same words in the same order are exact copies.
-    Null and wordless texts and null ids belong to none; rows that share a doc_id are one document; an empty table gives an empty result;
-    other columns are ignored.
+    or more are linked, and a group is a connected component of them. Texts of the same words in the same order are exact copies. Each character
+    of a script without spaces is a word. Null, empty and wordless texts and null ids belong to none. Rows that share a doc_id are one document, which is
+    a copy if one of its texts is; of ties the least doc_id stays. A very long text is compared whole. An empty table gives an empty result; other
+    columns, whatever their names, are ignored.
     """
-    same = W.partitionBy(*FP)
-    groups = fingerprints(docs).withColumn("id", F.min("doc_id").over(same)).withColumn("text", F.min("doc_id").over(W.partitionBy(*FP, "seq")))
-    groups = stage(groups, "fingerprints")
-    reps = groups.where("doc_id = id").select("id", *FP).distinct()
+    seen = stage(fingerprints(docs), "fingerprints")
+    text = [*FP, "seq"]
+    texts = stage(seen.groupBy(*text).agg(F.min("doc_id").alias("text"), F.max("words").alias("words")), "texts")  # exact copies, combined before the shuffle
+    reps = stage(texts.groupBy(*FP).agg(F.min("text").alias("id")), "reps")
     roots = components(links(reps, reps.count(), distance, recall))
-    texts = groups.where("doc_id = text").select("text", "id", "seq", "words").distinct().join(roots, F.col("id") == F.col("v"), "left")
-    copies = verified(docs, texts.select("text", "seq", "words", F.coalesce("root", "id").alias("root")), share)
-    joined = groups.select("doc_id", "text").join(copies, groups["text"] == copies["v"], "left")
-    return joined.select("doc_id", F.coalesce("root", "text").alias("duplicate_of")).where("doc_id <> duplicate_of").distinct()
+    same = lambda a, b, names: reduce(lambda x, y: x & y, [a[c] == b[c] for c in names])
+    of_rep = texts.join(reps, same(texts, reps, FP)).select("text", "id", texts["seq"], "words").join(roots, F.col("id") == F.col("v"), "left")
+    copies = verified(docs, of_rep.select("text", "seq", "words", F.coalesce("root", "id").alias("root")), share)
+    named = texts.join(copies, texts["text"] == copies["v"], "left").select(*text, F.coalesce("root", "text").alias("duplicate_of"))
+    named = stage(named, "named")
+    joined = seen.join(named, same(seen, named, text)).select("doc_id", "duplicate_of")
+    return joined.where("doc_id <> duplicate_of").distinct()
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs without the copies that duplicates finds: one document of each group stays."""
+    """docs without the copies that duplicates finds: one document of each group stays, that of the least doc_id, with all rows of that id.
+
+    Null, empty and wordless texts and null ids stay. All rows of a doc_id go where one of its texts is a copy. An empty table gives an empty one; other
+    columns stay as they are.
+    """
     return without_ids(docs, duplicates(docs).select("doc_id"))

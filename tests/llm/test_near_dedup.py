@@ -88,3 +88,21 @@ def test_span_hash_does_not_depend_on_place():
     data = np.frombuffer(b"abc xx abc", np.uint8)
     s = at.prefix_sums(data)
     assert len(set(at.span_hash(s, np.array([0, 7]), np.array([3, 10])).tolist())) == 1
+
+
+def test_links_of_a_leaf_by_brute_force():
+    rng = np.random.default_rng(4)
+    for n, families in ((0, 1), (1, 1), (40, 3), (700, 1), (900, 60), (300, 300)):
+        centres = rng.integers(0, 2**63, (families, 4)).astype(np.uint64)
+        fp = centres[rng.integers(0, families, n)]
+        for _ in range(int(rng.integers(5, 30))):  # a few bits of each row flipped
+            fp[np.arange(n), rng.integers(0, 4, n)] ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+        label = nd._linked(fp, 30)
+        near = nd._apart(fp, fp) <= 30
+        want = np.arange(n)
+        while True:
+            new = np.where(near, want[None, :], n).min(axis=1) if n else want
+            if (new == want).all():
+                break
+            want = new
+        assert (label == want).all()
