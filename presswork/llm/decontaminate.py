@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .shared import has, without_ids
+from .shared import filter_texts, has
 
 #: Words of a benchmark text that count as a leak when they stand together; a shorter text counts as a whole.
 WINDOW = 8
@@ -25,53 +25,105 @@ LEAST_WORDS = 3
 MAX_PATTERN_CHARS = 16_000_000
 
 _SPACE, _EDGE = 32, 10
-
-
-def _fold_table() -> np.ndarray:
-    """Letters, marks and numbers as one lower-case compatibility character each; all else as a space."""
-    table = np.full(0x110000, _SPACE, np.uint32)
-    for c in range(0x30000):
-        ch = chr(c)
-        if unicodedata.category(ch)[0] in "LMN":
-            low = unicodedata.normalize("NFKC", ch).lower()
-            table[c] = ord(low) if len(low) == 1 else c
-    table[0x30000:] = np.arange(0x30000, 0x110000)
-    return table
-
-
-_FOLD: list[np.ndarray] = []
-
-
-def normalise(points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(characters, their places in points). Runs of what isn't a letter or number are one space; each row is " words ", between line ends, which nothing else in a row is.
+#: Code points from here on are private, tags or unassigned: signs.
+_BEYOND = 0x32400
+
+
+def folded(text: str) -> str:
+    """text in compatibility composition and without case: ligatures, widths, decomposed accents and sharp s as what they stand for."""
+    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
+
+
+def _is_word(char: str) -> bool:
+    return unicodedata.category(char)[0] in "LMN"
+
+
+class _Folds:
+    """Tables by code point: the character it folds to alone (a space for what isn't a letter, mark or number), whether it may join the one before, and whether it folds to several."""
+
+    def __init__(self) -> None:
+        self.alone = np.full(0x110000, _SPACE, np.uint32)
+        self.joins, self.several = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+        self.joins[0x1160:0x1200] = True  # Hangul vowels and finals
+        for c in range(_BEYOND):
+            ch = chr(c)
+            if unicodedata.combining(ch):
+                self.joins[c] = True
+            parts = unicodedata.decomposition(ch).split()
+            if len(parts) == 2 and parts[0][0] != "<":
+                self.joins[int(parts[1], 16)] = True
+            if _is_word(ch):
+                to = folded(ch)
+                self.several[c] = len(to) != 1
+                self.alone[c] = ord(to) if len(to) == 1 else c
+        self.strings: dict[str, np.ndarray] = {}
+
+    def cluster(self, text: str) -> np.ndarray:
+        """The characters that a letter and what joins it fold to."""
+        if text not in self.strings:
+            if len(self.strings) > 1 << 16:
+                self.strings.clear()
+            to = folded(text) if _is_word(text[0]) else " " + text[1:]
+            self.strings[text] = np.array([ord(c) if _is_word(c) else _SPACE for c in to] or [_SPACE], np.uint32)
+        return self.strings[text]
+
+
+_FOLDS: list[_Folds] = []
+
+
+def fold(points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(folded characters, for each the first and past the last of the points it comes from, offsets of the rows in these)."""
+    if not _FOLDS:
+        _FOLDS.append(_Folds())
+    own = _FOLDS[0]
+    n = len(points)
+    joins = own.joins[points]
+    joins[rows[:-1][rows[:-1] < n]] = False
+    odd = joins | own.several[points]
+    if not odd.any():
+        return own.alone[points], np.arange(n), np.arange(1, n + 1), rows
+    start = np.flatnonzero(~joins)
+    end = np.append(start[1:], n)
+    slow = np.flatnonzero(np.add.reduceat(odd, start))
+    size = np.ones(len(start), np.int64)
+    made = [own.cluster(points[start[k] : end[k]].tobytes().decode("utf-32-le", "replace")) for k in slow]
+    size[slow] = [len(x) for x in made]
+    before = np.concatenate(([0], np.cumsum(size)))
+    out = np.repeat(own.alone[points[start]], size)
+    if len(slow):
+        out[np.repeat(before[slow], size[slow]) + np.arange(size[slow].sum()) - np.repeat(np.cumsum(size[slow]) - size[slow], size[slow])] = np.concatenate(made)
+    return out, np.repeat(start, size), np.repeat(end, size), before[np.searchsorted(start, rows)]
+
+
+def normalise(points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(characters, first and past the last of the points each comes from). Runs of what isn't a letter or number are one space; each row is " words ", between line ends, which
+    nothing else in a row is.
 
     A row's own edges take the place of its first or last point.
     """
-    if not _FOLD:
-        _FOLD.append(_fold_table())
+    whole, edges = len(points), rows
+    points, begin, end, rows = fold(points, rows)
     n, count = len(points), len(rows) - 1
     shift = 3 * np.arange(count)  # a line end and a space before each row, and a space after it
     out = np.full(n + 3 * count + 1, _SPACE, np.uint32)
-    place = np.zeros(len(out), np.int64)
+    place, past = np.zeros(len(out), np.int64), np.zeros(len(out), np.int64)
     sizes = np.diff(rows)
     to = np.arange(n) + np.repeat(shift, sizes) + 2
-    out[to] = _FOLD[0][points]
-    place[to] = np.arange(n)
+    out[to], place[to], past[to] = points, begin, end
     begins = rows[:-1] + shift
     out[begins] = _EDGE
     out[-1] = _EDGE
-    place[begins] = place[begins + 1] = rows[:-1]
-    ends = rows[1:] + shift + 2
-    place[ends] = np.maximum(rows[1:], 0)
-    place[-1] = n
+    place[begins] = place[begins + 1] = edges[:-1]
+    place[rows[1:] + shift + 2] = edges[1:]
+    place[-1] = whole
     keep = np.ones(len(out), bool)
     keep[1:] = ~((out[1:] == _SPACE) & (out[:-1] == _SPACE))
-    return out[keep], place[keep]
+    return out[keep], place[keep], past[keep]
 
 
 def normalised(text: str) -> str:
     points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    chars, _ = normalise(points, np.array([0, len(points)]))
+    chars, _, _ = normalise(points, np.array([0, len(points)]))
     return chars[1:-1].tobytes().decode("utf-32-le").strip()
 
 
@@ -132,11 +184,13 @@ class _Shared:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, item_id, start, end): stretches of documents, in characters of the original text, end excluded, that hold window or more
-    words running of a benchmark text, or all of a text of least to window - 1 words; case, signs and spacing don't count.
+    words running of a benchmark text, or all of a text of least to window - 1 words; case, signs, spacing and the way a letter is encoded (composed or not,
+    ligature, width) don't count.
 
     Windows of an item that overlap or touch are one stretch. A text of fewer than least words leaks only where a document says nothing else.
     Null and empty texts and items, and a null item_id, have no leaks; a null doc_id is carried along; repeated rows give the same rows
-    again; an empty table gives an empty result; other columns are ignored.
+    again; passages that several items share are stretches of each. A very long text is scanned whole. An empty table gives an empty result; other
+    columns, whatever their names, are ignored.
     """
     found = [_leaks_of(docs, shared) for shared in _shared(docs, benchmark, window, least)]
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], _LEAK)
@@ -151,10 +205,11 @@ def _shared(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least:
 
 
 def _leaks_of(docs: DataFrame, shared: _Shared) -> DataFrame:
+    @at.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
-            for lo, _hi, data, offsets in at.chunks(batch.column("text"), limit=1 << 20):
+            for lo, _hi, data, offsets in at.chunks(batch.column("text")):
                 row, item, start, end = _scan(_automaton(shared), data, offsets)
                 if len(row):
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(lo + row)), pa.array(item), pa.array(start), pa.array(end)], ["doc_id", "item_id", "start", "end"])
@@ -170,7 +225,7 @@ def _scan(machine: ahocorasick.Automaton, data: np.ndarray, offsets: np.ndarray)
     if not len(machine):
         return _NONE
     points, rows = at.code_points(data, offsets)
-    chars, place = normalise(points, rows)
+    chars, place, past_of = normalise(points, rows)
     hits = [(end, size, item) for end, (size, items) in machine.iter(chars.tobytes().decode("utf-32-le")) for item in items]
     if not hits:
         return _NONE
@@ -178,7 +233,7 @@ def _scan(machine: ahocorasick.Automaton, data: np.ndarray, offsets: np.ndarray)
     # a pattern's own edges aren't part of the stretch: its first letter to its last
     lead = np.where(chars[end - size + 1] == _EDGE, 2, 1)
     trail = np.where(chars[end] == _EDGE, 2, 1)
-    a, b = place[end - size + 1 + lead], place[end - trail] + 1
+    a, b = place[end - size + 1 + lead], past_of[end - trail]
     row = np.searchsorted(rows, a, "right") - 1
     order = np.lexsort((b, a, item, row))
     row, item, a, b = row[order], item[order], a[order], b[order]
@@ -194,25 +249,24 @@ def _scan(machine: ahocorasick.Automaton, data: np.ndarray, offsets: np.ndarray)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those in which leaks finds something. Rows that share a doc_id go together; rows with a null one are judged each by its own text."""
-    shared = _shared(docs, benchmark)
-    gone = reduce(DataFrame.unionByName, [_leaks_of(docs, x) for x in shared]) if shared else docs.sparkSession.createDataFrame([], _LEAK)
-    named = without_ids(docs.where(docs["doc_id"].isNotNull()), gone.where("doc_id is not null").select("doc_id"))
-    rest = docs.where(docs["doc_id"].isNull())
-    for x in shared:
-        rest = _free_of(rest, x)
-    return named.unionByName(rest)
+    """docs without the rows whose text leaks finds something in.
+
+    Each row is judged by its own text, whatever rows share its doc_id; null and empty texts stay, as do all rows where the benchmark is empty. An empty table
+    gives an empty one; other columns, whatever their names, stay as they are.
+    """
+    for x in _shared(docs, benchmark):
+        docs = _free_of(docs, x)
+    return docs
 
 
 def _free_of(docs: DataFrame, shared: _Shared) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for lo, _hi, data, offsets in at.chunks(batch.column("text"), limit=1 << 20):
-                keep[lo + _scan(_automaton(shared), data, offsets)[0]] = False
-            yield batch.filter(pa.array(keep))
+    def judge(texts: pa.Array) -> np.ndarray:
+        keep = np.ones(len(texts), bool)
+        for lo, _hi, data, offsets in at.chunks(texts):
+            keep[lo + _scan(_automaton(shared), data, offsets)[0]] = False
+        return keep
 
-    return docs.mapInArrow(run, docs.schema)
+    return filter_texts(docs, judge)
 
 
 _WORD = r"[\p{L}\p{M}\p{N}]+"
