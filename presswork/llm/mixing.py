@@ -9,7 +9,8 @@ The landing drops the tokens' constraint for the last two documents, then the do
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from .shared import BROADCAST_IDS, has, stage
 
 #: Share of all tokens that is drawn, and the power of a source's tokens that its target goes by.
 SHARE, POWER = 0.5, 0.5
+#: Sources are summed up in steps of 1 / STEPS of a power of two for the one factor that all targets share; its error is less than that step's.
+STEPS = 4096
 #: Documents of a group of the first flight.
 GROUP = 4096
 SEED = 20240501
@@ -28,31 +31,42 @@ _EPS = 1e-9
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, tokens): runs without ASCII white space in the text; 0 for a null one."""
+    """(doc_id, source, tokens, place): runs without ASCII white space in the text, 0 for a null one; a hash of id and text."""
 
+    @at.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [np.empty(0, np.int64)]
             for _lo, _hi, data, offsets in at.chunks(batch.column("text")):
                 starts, _, rows = at.tokens(at.SPACES[data], offsets)
                 out.append(np.diff(rows))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(np.concatenate(out))], ["doc_id", "source", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(np.concatenate(out)), batch.column("place")], ["doc_id", "source", "tokens", "place"])
 
-    return has(docs, "doc_id", "source", "text").select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(run, "doc_id long, source string, tokens long")
+    few = has(docs, "doc_id", "source", "text").select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text", F.xxhash64("doc_id", "text", F.lit(SEED)).alias("place"))
+    return few.mapInArrow(run, "doc_id long, source string, tokens long, place long")
 
 
-def level(totals: np.ndarray, share: float, power: float) -> float:
-    """The factor of totals ** power at which the targets, none above its total, sum to share of all tokens."""
-    totals = totals[totals > 0].astype(float)
+def factor(totals: np.ndarray, weights: np.ndarray, share: float, everything: float) -> float:
+    """The factor of weights at which the targets, none above its total, sum to share of everything; or at which all that has a weight is drawn."""
+    some = (totals > 0) & (weights > 0)
+    totals, weights = totals[some].astype(float), weights[some].astype(float)
     if not len(totals):
         return 0.0
-    want, low, high = share * totals.sum(), 0.0, float((totals ** (1 - power)).max())
+    want, low, high = share * everything, 0.0, float((totals / weights).max())
+    if totals.sum() <= want:
+        return high
     for _ in range(200):
         mid = (low + high) / 2
-        low, high = (low, mid) if np.minimum(totals, mid * totals**power).sum() >= want else (mid, high)
+        low, high = (low, mid) if np.minimum(totals, mid * weights).sum() >= want else (mid, high)
     return high
 
 
+def level(totals: np.ndarray, share: float, power: float) -> float:
+    """factor, where a source weighs as its tokens to the given power."""
+    totals = totals[totals > 0].astype(float)
+    return factor(totals, totals**power, share, float(totals.sum()))
+
+
 def flight(p: np.ndarray, tokens: np.ndarray, random: np.random.Generator) -> None:
     """Moves p, in place, until two entries or fewer aren't 0 or 1; sums of p and of p * tokens don't change."""
     open_ = [int(i) for i in np.flatnonzero((p > _EPS) & (p < 1 - _EPS))]
@@ -104,6 +118,7 @@ def _seed(table: pa.Table, name: str) -> np.random.Generator:
 
 
 def _fly(name: str, land: bool):
+    @at.tidy_groups
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("place", "ascending"), ("doc_id", "ascending"), ("tokens", "ascending")])
         p = table.column("p").to_numpy().copy()
@@ -119,24 +134,45 @@ def _fly(name: str, land: bool):
 _ROW = "doc_id long, source string, tokens long, inclusion double, place long, chunk long, p double"
 
 
-def sample(docs: DataFrame, share: float = SHARE, power: float = POWER) -> DataFrame:
+Weights = Mapping[str | None, float] | DataFrame
+
+
+def _weighted(totals: DataFrame, weights: Weights | None, power: float) -> DataFrame:
+    """totals (source, all_tokens, n) with weight."""
+    if weights is None:
+        return totals.withColumn("weight", F.when(F.col("all_tokens") > 0, F.pow(F.col("all_tokens").cast("double"), F.lit(float(power)))).otherwise(0.0))
+    if isinstance(weights, Mapping):
+        if any(not 0 <= w < math.inf for w in weights.values()):
+            raise ValueError("weights are finite and not negative")
+        weights = totals.sparkSession.createDataFrame(list(weights.items()), "source string, weight double")
+    own = has(weights, "source", "weight").groupBy(F.col("source").cast("string").alias("_named")).agg(F.greatest(F.sum("weight"), F.lit(0.0)).cast("double").alias("weight"))
+    return totals.join(own, F.col("source").eqNullSafe(F.col("_named")), "left").drop("_named").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+
+
+def sample(docs: DataFrame, share: float = SHARE, power: float = POWER, weights: Weights | None = None) -> DataFrame:
     """(doc_id, source, tokens, inclusion): the documents drawn, with the probability that each had.
 
-    A source's target is in proportion to its tokens to the given power, but no more than all it has; targets sum to share of all tokens.
-    A null source is a source of its own. Texts without tokens are drawn as others of their source; a source without any tokens has inclusion
-    0. Repeated rows, and rows with a null doc_id, are documents each. An empty table gives an empty result; other columns are ignored. The
-    draw depends on the rows alone, not on their order or partitions.
+    weights are the sources' target weights, a mapping or a table (source, weight): a source's target is in proportion to its weight, but no more than all it
+    has; targets sum to share of all tokens, or to all that the weighted sources have if that is less. A source that the weights don't name has weight 0
+    and gives nothing; a weight of a source that isn't there counts for nothing; the null source may be named; of a table, a source's weights add up and nulls
+    and negative sums are 0. Without weights a source weighs as its tokens to the given power.
+
+    A null source is a source of its own. Texts without tokens, null and empty ones among them, are drawn as others of their source; a source without any
+    tokens has inclusion 0. Repeated rows, rows that share a doc_id, and rows with a null doc_id, are documents each; of rows that agree in id, text and
+    source any may be the one that is drawn. A very long text is counted whole, and may put its source's total off by up to its own tokens. An empty table
+    gives an empty result; other columns, whatever their names, are ignored. The draw depends on the rows alone, not on their order or partitions.
     """
     counted = stage(count_tokens(docs), "tokens")
-    totals = stage(counted.groupBy("source").agg(F.sum("tokens").alias("all_tokens"), F.count("*").alias("n")), "sources")
-    figures = totals.select("all_tokens", "n").toPandas()  # two numbers for each source
-    factor = level(figures["all_tokens"].to_numpy(dtype=float), share, power)
-    inclusion = F.when(F.col("all_tokens") > 0, F.least(F.lit(1.0), F.lit(factor) * F.pow(F.col("all_tokens").cast("double"), F.lit(power - 1)))).otherwise(0.0)
-    # rows that agree in all that is known here share a place: any of them may be the one that is drawn
+    totals = stage(_weighted(counted.groupBy("source").agg(F.sum("tokens").alias("all_tokens"), F.count("*").alias("n")), weights, power), "sources")
+    largest, everything = totals.agg(F.max("n"), F.sum("all_tokens")).first()
+    # sources whose targets reach their totals at nearly the same factor are one row: what comes here doesn't follow their number
+    steps = totals.where("all_tokens > 0 and weight > 0").groupBy(F.floor(F.log2(F.col("all_tokens") / F.col("weight")) * STEPS)).agg(F.sum("all_tokens").cast("double").alias("t"), F.sum("weight").alias("w")).toPandas()
+    scale = factor(steps["t"].to_numpy(), steps["w"].to_numpy(), share, float(everything or 0))
+    inclusion = F.when(F.col("all_tokens") > 0, F.least(F.lit(1.0), F.lit(scale) * F.col("weight") / F.col("all_tokens"))).otherwise(0.0)
     of_source = totals.select(F.col("source").alias("_source"), inclusion.alias("inclusion"), F.ceil(F.col("n") / GROUP).cast("long").alias("groups"))
-    rows = counted.join(of_source, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("place", F.xxhash64("doc_id", F.lit(SEED)))
-    flown = rows.withColumn("chunk", F.pmod("place", "groups")).withColumn("p", F.col("inclusion")).drop("groups")
-    groups = -(-int(figures["n"].max()) // GROUP) if len(figures) else 1
+    rows = counted.join(of_source, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    flown = rows.select("doc_id", "source", "tokens", "inclusion", "place", F.pmod("place", "groups").alias("chunk"), F.col("inclusion").alias("p"))
+    groups = -(-int(largest) // GROUP) if largest else 1
     done: list[DataFrame] = []
     depth = 0
     while True:
@@ -153,8 +189,11 @@ def sample(docs: DataFrame, share: float = SHARE, power: float = POWER) -> DataF
     return out.select("doc_id", "source", "tokens", "inclusion")
 
 
-def mix(docs: DataFrame, share: float = SHARE, power: float = POWER) -> DataFrame:
-    """The rows of docs whose doc_id is drawn; rows that share a doc_id go together, and those with a null one go."""
-    drawn = stage(sample(docs, share, power).where("doc_id is not null").select(F.col("doc_id").alias("_drawn")).distinct(), "drawn")
+def mix(docs: DataFrame, share: float = SHARE, power: float = POWER, weights: Weights | None = None) -> DataFrame:
+    """The rows of docs whose doc_id sample draws, all columns as they are; rows that share a doc_id go together, and those with a null one go.
+
+    Null and empty texts are drawn as others of their source. An empty table gives an empty one.
+    """
+    drawn = stage(sample(docs, share, power, weights).where("doc_id is not null").select(F.col("doc_id").alias("_drawn")).distinct(), "drawn")
     side = F.broadcast(drawn) if drawn.count() <= BROADCAST_IDS else drawn
     return docs.join(side, docs["doc_id"] == side["_drawn"], "left_semi")
