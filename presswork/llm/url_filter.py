@@ -17,12 +17,15 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import arrowtext as at
 from .shared import has, new_path, stage
 
 #: Entries of one array.
 SHARD_ENTRIES = 1_000_000
-#: A list of more bytes than this isn't mapped by every task: probes and entries are joined by digest and string.
+#: Up to so many bytes of arrays every task maps all of them and URLs stay where they are; of more, the URLs' keys are shuffled by array, and a task maps the arrays of its own keys.
 MAP_BYTES = 4 << 30
+#: Arrays that a worker keeps mapped.
+OPEN_ARRAYS = 64
 
 _HOST, _REST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^#]*)"
 
@@ -92,14 +95,16 @@ class DigestArray:
 _OPEN: dict[str, DigestArray] = {}
 
 
-def _opened(path: str) -> DigestArray:
+def _opened(path: str, keep: int = OPEN_ARRAYS) -> DigestArray:
     if path not in _OPEN:
+        while len(_OPEN) >= keep:
+            del _OPEN[next(iter(_OPEN))]
         _OPEN[path] = DigestArray(path)
     return _OPEN[path]
 
 
-def build(entries: DataFrame) -> tuple[list[tuple[int, str]], int, DataFrame]:
-    """((shard, path) of each array, bits of a digest that choose the shard, the entries' table of key and digest)."""
+def build(entries: DataFrame) -> tuple[dict[int, str], int, int]:
+    """(path of each shard's array, bits of a digest that choose the shard, bytes of all arrays)."""
     spark = entries.sparkSession
     keys = stage(entries.select(entry_key(F.col("entry")).alias("key")).where("key is not null").distinct().withColumn("digest", F.xxhash64("key")), "entries")
     bits = max(0, int(np.ceil(np.log2(max(1, keys.count()) / SHARD_ENTRIES))))
@@ -114,24 +119,24 @@ def build(entries: DataFrame) -> tuple[list[tuple[int, str]], int, DataFrame]:
         return pa.table({"shard": pa.array([number], pa.int32()), "path": [path], "bytes": pa.array([len(body)], pa.int64())})
 
     written = keys.withColumn("shard", shard).groupBy("shard").applyInArrow(write, "shard int, path string, bytes long").collect()  # one row for each array
-    return [(r["shard"], r["path"]) for r in written], bits, keys
+    return {r["shard"]: r["path"] for r in written}, bits, sum(r["bytes"] for r in written)
 
 
 def blocked(pages: DataFrame, entries: DataFrame, map_bytes: int = MAP_BYTES) -> DataFrame:
     """(page_id, url, blocked_by, keep) for every row of pages: the most exact entry (column entry) that blocks the URL, or null, and whether there is none.
 
-    A null, empty or hostless URL has no key and is kept. Null, empty and repeated entries count for nothing more. Repeated rows are judged alike; an empty
-    table gives an empty result, an empty list keeps everything; other columns are ignored.
+    A null, empty or hostless URL has no key and is kept. Null, empty and repeated entries count for nothing more. Of several entries that block a URL the most
+    exact one is named. Repeated rows are judged alike; very long URLs are compared whole; an empty table gives an empty result, an empty list keeps
+    everything; other columns, whatever their names, are ignored.
     """
     spark = pages.sparkSession
     few = has(pages, "page_id", "url")
-    keys = stage(entries.select(entry_key(F.col("entry")).alias("key"), F.octet_length(entry_key(F.col("entry"))).cast("long").alias("n")).where("key is not null").distinct(), "measured")
-    size = keys.agg(F.sum(F.col("n") + 16)).first()[0] or 0
+    paths, bits, size = build(has(entries, "entry"))
     if size > map_bytes:
-        return _joined(few, keys)
-    paths, bits, _ = build(keys.select(F.col("key").alias("entry")))
-    shards = spark.sparkContext.broadcast(dict(paths))  # names of files, one for each SHARD_ENTRIES entries
+        return _by_array(few, paths, bits)
+    shards = spark.sparkContext.broadcast(paths)  # names of files, one for each SHARD_ENTRIES entries
 
+    @at.tidy
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("keys")
@@ -155,12 +160,27 @@ def blocked(pages: DataFrame, entries: DataFrame, map_bytes: int = MAP_BYTES) ->
     return hashed.mapInArrow(probe, "page_id long, url string, blocked_by string, keep boolean")
 
 
-def _joined(pages: DataFrame, keys: DataFrame) -> DataFrame:
-    """The same for lists that are too long to map: distinct URLs' keys meet the list in one shuffle by digest and string."""
+def _by_array(pages: DataFrame, paths: dict[int, str], bits: int) -> DataFrame:
+    """The same for lists that no task should map whole: the keys of distinct URLs go to the task of their array, which probes it in the same way."""
+    shards = pages.sparkSession.sparkContext.broadcast(paths)
     urls = pages.select("url").where("url is not null").distinct()
     probes = urls.select("url", F.posexplode(probe_keys(F.col("url"))).alias("pos", "key")).withColumn("digest", F.xxhash64("key"))
-    hits = probes.join(keys.select("key").withColumn("digest", F.xxhash64("key")), ["digest", "key"]).groupBy("url").agg(F.min_by("key", "pos").alias("blocked_by")).withColumnRenamed("url", "_url")
-    return pages.join(hits, F.col("url") == F.col("_url"), "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "blocked_by", F.col("blocked_by").isNull().alias("keep"))
+    probes = probes.withColumn("shard", F.shiftrightunsigned("digest", 64 - bits).cast("int") if bits else F.lit(0))
+
+    @at.tidy
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at_shard, digests = np.asarray(batch.column("shard")), np.asarray(batch.column("digest")).view(np.uint64)
+            for number in np.unique(at_shard):
+                if int(number) in shards.value:
+                    own = np.flatnonzero(at_shard == number)
+                    strings = [x.encode() for x in batch.column("key").take(pa.array(own)).to_pylist()]
+                    hit = own[_opened(shards.value[int(number)], 1).find(digests[own], strings)]
+                    yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(hit)) for c in ("url", "pos", "key")], ["url", "pos", "key"])
+
+    hits = probes.repartition("shard").sortWithinPartitions("shard").mapInArrow(probe, "url string, pos int, key string")
+    by = hits.groupBy("url").agg(F.min_by("key", "pos").alias("blocked_by")).withColumnRenamed("url", "_url")
+    return pages.join(by, F.col("url") == F.col("_url"), "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "blocked_by", F.col("blocked_by").isNull().alias("keep"))
 
 
 def sample_list(pages: DataFrame) -> DataFrame:
