@@ -41,3 +41,23 @@ def test_history(spark, monkeypatch):
     got = sorted((r["position"], r["urlkey"], r["captured"], r["page_id"], r["capture_no"], r["since_previous"], r["changed"]) for r in wi.history(df, F.col("t")).collect())
     assert got == want
     assert wi.history(df.limit(0), F.col("t")).count() == 0
+
+
+def test_a_hot_key_is_cut_by_time(spark, monkeypatch):
+    monkeypatch.setattr(wi, "RUN_ROWS", 60)
+    monkeypatch.setattr(wi, "RANGE_ROWS", 50)
+    monkeypatch.setattr(wi, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(wi, "OUT_ROWS", 20)
+    rng = random.Random(4)
+    rows = [(rng.randint(0, 90), "http://hot.example/" if rng.random() < 0.9 else f"http://h{rng.randint(0, 5)}.example/", rng.choice(["<a>", "<b>", None]), rng.choice([rng.randint(0, 60), None])) for _ in range(600)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, t long").repartition(4)
+    want = brute([r.asDict() for r in wi.captures(df, F.col("t")).collect()])
+    got = sorted((r["position"], r["urlkey"], r["captured"], r["page_id"], r["capture_no"], r["since_previous"], r["changed"]) for r in wi.history(df, F.col("t")).collect())
+    assert got == want
+
+
+def test_borders():
+    keys = [(b"a", 0, 0)] * 3 + [(b"h", i, 0) for i in range(20)] + [(b"z", 0, 0)]
+    borders, hot = wi.borders_of(keys, 6)
+    assert hot == {b"h"} and len(borders) == 5 and borders == sorted(borders)
+    assert wi.borders_of([], 4) == ([], set()) and wi.borders_of(keys, 1) == ([], set())
