@@ -80,13 +80,20 @@ class Rules:
         # targets drawn in from 0 and 1, so that a line exists where the classes are apart
         n1, n0 = y[cal].sum(), (1 - y[cal]).sum()
         target = np.where(y[cal] > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-        for _ in range(50):
+        loss = lambda a, b: float((np.logaddexp(0, a * z + b) - target * (a * z + b)).sum())
+        now = loss(self.a, self.b)
+        for _ in range(50):  # Newton's steps, halved until they help: whole ones run past the least loss where the sums are far from a line
             p = 1 / (1 + np.exp(-np.clip(self.a * z + self.b, -30, 30)))
             w = np.maximum(p * (1 - p), 1e-6)
             g = np.array([(p - target) @ z, (p - target).sum()])
             hess = np.array([[(w * z) @ z + 1e-3, w @ z], [w @ z, w.sum() + 1e-3]])
-            da, db = np.linalg.solve(hess, g)
-            self.a, self.b = self.a - np.clip(da, -2, 2), self.b - np.clip(db, -2, 2)
+            da, db = np.clip(np.linalg.solve(hess, g), -2, 2)
+            while max(abs(da), abs(db)) > 1e-9 and loss(self.a - da, self.b - db) > now:
+                da, db = da / 2, db / 2
+            if max(abs(da), abs(db)) <= 1e-9:
+                break
+            self.a, self.b = self.a - da, self.b - db
+            now = loss(self.a, self.b)
         self.weights = self.weights.astype(np.float32)
 
     def probability(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -111,6 +118,7 @@ def _bag(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Rules | None:
     """The model; none where no document is labelled."""
 
+    @at.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, y = batch.column("doc_id").to_pylist(), batch.column("quality").to_pylist()
@@ -136,10 +144,11 @@ def score(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> DataFr
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, bound))
 
+    @at.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Rules | None = model.value
         for batch in batches:
-            for lo, hi, data, offsets in at.chunks(batch.column("text"), limit=1 << 20):
+            for lo, hi, data, offsets in at.chunks(batch.column("text")):
                 p = own.probability(data, offsets) if own else np.full(hi - lo, np.nan)
                 none = np.isnan(p)
                 verdict = np.where(p < LOW, "bad", np.where(p < HIGH, "unsure", "good")).astype(object)
