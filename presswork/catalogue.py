@@ -21,7 +21,7 @@ from .functions import text as tx
 from .functions.digest import Item, scored, with_match_texts
 from .functions.vocab import contains_any, count_terms, default_vocabulary, format_matched, match_keywords, matched_terms
 from .shared import where_computed
-from .operators import curation, digest, health, news, quotes, select, stories
+from .operators import candidates, curation, digest, health, news, quotes, select, stories
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -74,13 +74,13 @@ AS_OF = datetime(2024, 1, 31)
 
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:
-    """documents as articles: the first line as title, the first 400 characters as summary, one of seven roles, a minute back for each id."""
+    """documents as articles: the head of the first line (80 characters) as title, the whole text as summary, one of seven roles, a minute back for each id."""
     d = table(spark, sf, "documents").select("doc_id", "text", "source")
     roles = F.array(*[F.lit(r) for r in FEED_ROLES])
     return d.select(
         F.col("doc_id").alias("ord"),
         F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"),
-        F.substring("text", 1, 400).alias("summary"),
+        F.col("text").alias("summary"),
         "source",
         F.col("source").alias("feed_name"),
         F.element_at(roles, (F.pmod("doc_id", F.lit(7)) + 1).cast("int")).alias("feed_role"),
@@ -91,7 +91,7 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
 
 def gated(spark: SparkSession, sf: str) -> DataFrame:
     a = articles(spark, sf)
-    a = a.withColumn("_text", F.lower(tx.clean(F.concat_ws(" ", "title", "summary"), False)))
+    a = a.withColumn("_text", F.lower(tx.clean(F.concat_ws(" ", "title", "summary"))))
     return a.withColumn("matched_keywords", match_keywords(F.col("_text"), KEYWORDS)).drop("_text")
 
 
@@ -115,7 +115,7 @@ def _clean(x: str) -> str:
 
 
 _A = f"""a0 AS (
-  SELECT doc_id AS ord, substr(string_split(text, chr(10))[1], 1, 80) AS title, substr(text, 1, 400) AS summary, source, source AS feed_name,
+  SELECT doc_id AS ord, substr(string_split(text, chr(10))[1], 1, 80) AS title, text AS summary, source, source AS feed_name,
     {"[" + ", ".join(f"'{r}'" for r in FEED_ROLES) + "]"}[doc_id % 7 + 1] AS feed_role, 'https://news.example/' || source || '/' || doc_id AS link,
     TIMESTAMP '2024-01-31 00:00:00' - to_minutes(doc_id % 20000) AS published_at FROM documents
 ), a AS (
@@ -139,7 +139,7 @@ def q_keyword_match(spark, sf):
 @query(f"""WITH {_A} SELECT ord, CAST({_n(VOCABULARY["market_signal"], "t")} AS INTEGER) AS signals, CAST({_n(VOCABULARY["watch"], "t")} AS INTEGER) AS watched, {_has(CONFIG.low_value_patterns, "cx")} AS low_value FROM a""")
 def q_term_counts(spark, sf):
     own = Item(VOCABULARY, CONFIG)
-    return with_match_texts(articles(spark, sf), False).select("ord", own.n("market_signal").cast("int").alias("signals"), own.n("watch").cast("int").alias("watched"), own.low_value().alias("low_value"))
+    return with_match_texts(articles(spark, sf)).select("ord", own.n("market_signal").cast("int").alias("signals"), own.n("watch").cast("int").alias("watched"), own.low_value().alias("low_value"))
 
 
 _CATEGORY = f"""CASE {" ".join(f"WHEN {_has(k, 't')} THEN '{c}'" for c, k in KEYWORDS.items())} END"""
@@ -211,7 +211,12 @@ def q_clean_html(spark, sf):
     return own.select("page_id", F.md5("x").alias("digest"), F.length("x").alias("n"))
 
 
-@query()
+_DECODED = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
+for _entity, _char in (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©")):  # those that stand in the pages
+    _DECODED = f"replace({_DECODED}, '{_entity}', '{_char}')"
+
+
+@query(rf"""SELECT page_id, md5(trim(regexp_replace(regexp_replace({_DECODED}, '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS digest FROM pages""")
 def q_clean_entities(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(tx.clean(F.col("html"))).alias("digest"))
 
@@ -232,7 +237,7 @@ def q_normalized_title(spark, sf):
     CASE WHEN len(w) > 12 THEN regexp_replace(array_to_string(w[1:12], ' '), '[ ,;:]+$', '') || '...' ELSE x END AS words FROM w"""
 )
 def q_truncate(spark, sf):
-    return articles(spark, sf).select("ord", tx.truncate(F.col("summary"), 120, False).alias("chars"), tx.truncate_words(tx.clean(F.col("summary"), False), 12).alias("words"))
+    return articles(spark, sf).select("ord", tx.truncate(F.col("summary"), 120).alias("chars"), tx.truncate_words(tx.clean(F.col("summary")), 12).alias("words"))
 
 
 @query(rf"""WITH {_A} SELECT ord, len(list_filter(regexp_extract_all(summary, '[\p{{L}}\p{{N}}_\p{{M}}]+'), lambda z: regexp_matches(z, '^[A-Za-z][A-Za-z0-9]*$'))) > len(regexp_extract_all(summary, '[\x{{4e00}}-\x{{9fff}}]')) AS english FROM a0""")
@@ -240,9 +245,21 @@ def q_is_english(spark, sf):
     return articles(spark, sf).select("ord", tx.is_english(F.col("summary")).alias("english"))
 
 
-@query()
+_WORDS = r"list_filter(string_split_regex({0}, '\s+'), lambda y: y <> '')"
+
+
+@query(
+    rf"""WITH {_A}, c AS (SELECT ord, {_clean("summary")} AS x, len(list_filter(regexp_extract_all(summary, '[\p{{L}}\p{{N}}_\p{{M}}]+'), lambda z: regexp_matches(z, '^[A-Za-z][A-Za-z0-9]*$'))) > len(regexp_extract_all(summary, '[\x{{4e00}}-\x{{9fff}}]')) AS english FROM a0),
+    p AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(regexp_replace(x, '([。！？；;])\s*', '\1' || chr(31), 'g'), '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)), lambda z: trim(z)), lambda z: z <> '')[1:3] AS s FROM c),
+    n AS (SELECT *, list_transform(s, lambda z: len({_WORDS.format("z")})) AS n, list_transform(s, lambda z: length(z)) AS m FROM p),
+    j AS (SELECT ord, x, english, CASE WHEN len(s) = 0 THEN x WHEN len(s) >= 2 AND n[1] + n[2] <= 90 THEN CASE WHEN len(s) = 3 AND n[1] + n[2] + n[3] <= 90 THEN array_to_string(s, ' ') ELSE s[1] || ' ' || s[2] END ELSE s[1] END AS e,
+      CASE WHEN len(s) = 0 THEN x WHEN len(s) >= 2 AND m[1] + m[2] <= 180 THEN CASE WHEN len(s) = 3 AND m[1] + m[2] + m[3] <= 180 THEN array_to_string(s, '') ELSE s[1] || s[2] END ELSE s[1] END AS o FROM n)
+    SELECT ord, CASE WHEN x = '' THEN 'none' WHEN english THEN CASE WHEN len({_WORDS.format("e")}) > 90 THEN regexp_replace(array_to_string({_WORDS.format("e")}[1:90], ' '), '[ ,;:]+$', '') || '...' ELSE e END
+      WHEN length(o) <= 180 THEN o ELSE regexp_replace(substr(o, 1, 180), '[，,；;：: ]+$', '') || '……' END AS packed FROM j"""
+)
 def q_summary_pack(spark, sf):
-    return articles(spark, sf).select("ord", tx.pack_summary(tx.clean(F.col("summary"), False), "none").alias("packed"))
+    cleaned = articles(spark, sf).select("ord", tx.clean(F.col("summary")).alias("x"))
+    return cleaned.select("ord", tx.pack_summary(F.col("x"), "none").alias("packed"))
 
 
 @query(rf"""WITH {_A} SELECT ord, len(regexp_extract_all(summary, '(?:then|nd)[^.,\n]*')) AS parts, list_filter({_list(_pairs("neg", 6))}, lambda t: contains(summary, t)
@@ -294,13 +311,27 @@ def q_source_cap_topk(spark, sf):
     return select.capped_top(e, ["user_id", "props"], "user_id", [F.col("value").desc(), F.col("event_id")], 3, 50).select("event_id", F.col("rank").cast("int").alias("rank"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE first AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, props ORDER BY event_id) = 1),
+    feeds AS (SELECT dense_rank() OVER (ORDER BY user_id) AS i, list({'k': props, 'e': event_id} ORDER BY event_id) AS own FROM first GROUP BY user_id),
+    r AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS seen, CAST([] AS BIGINT[]) AS picked
+      UNION ALL SELECT i, list_concat(seen, list_transform(p, lambda x: x.k)), list_transform(p, lambda x: x.e) FROM (SELECT f.i AS i, r.seen AS seen, list_filter(f.own, lambda x: NOT list_contains(r.seen, x.k))[1:3] AS p FROM r JOIN feeds f ON f.i = r.i + 1))
+    SELECT e.event_id, e.user_id, e.props FROM (SELECT unnest(picked) AS id FROM r) JOIN events e ON e.event_id = id"""
+)
 def q_dedupe_cap_fold(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id", "props")
     return select.dedupe_and_cap(e, "props", "user_id", [F.col("user_id"), F.col("event_id")], 3)
 
 
-@query()
+@query(
+    """WITH RECURSIVE first AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, props ORDER BY value DESC, event_id) = 1),
+    rows AS (SELECT *, row_number() OVER (ORDER BY value DESC, event_id) AS i FROM first),
+    r AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS users, CAST(0 AS BIGINT) AS special, CAST([] AS BIGINT[]) AS ids
+      UNION ALL SELECT i, CASE WHEN ok THEN list_append(users, u) ELSE users END, special + CAST(ok AND s AS BIGINT), CASE WHEN ok THEN list_append(ids, e) ELSE ids END
+      FROM (SELECT w.i AS i, users, special, ids, w.user_id AS u, w.event_id AS e, w.event_type = 'purchase' AS s, len(list_filter(users, lambda z: z = w.user_id)) < 2 AND NOT (w.event_type = 'purchase' AND special >= 5) AS ok
+        FROM r JOIN rows w ON w.i = r.i + 1 WHERE len(ids) < 40))
+    SELECT event_id, user_id, props, event_type, value FROM events WHERE event_id IN (SELECT unnest(ids) FROM (SELECT ids FROM r ORDER BY i DESC LIMIT 1))"""
+)
 def q_two_caps_fold(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id", "props", "event_type", "value")
     return select.two_caps(e, ["user_id", "props"], "user_id", "event_type", "purchase", [F.col("value").desc(), F.col("event_id")], 2, 5, 40)
@@ -361,20 +392,20 @@ _FLAGS = f"""{_A}, s0 AS (
 
 @query(f"WITH {_FLAGS} SELECT ord, section, feed_role FROM s5")
 def q_classify(spark, sf):
-    return scored(gated(spark, sf), VOCABULARY, CONFIG, False).select("ord", "section", "feed_role")
+    return scored(gated(spark, sf), VOCABULARY, CONFIG).select("ord", "section", "feed_role")
 
 
 @query(f"WITH {_FLAGS} SELECT ord, deal, concrete, talk, global, market, watch, core, enters FROM s5")
 def q_signals(spark, sf):
     i = Item(VOCABULARY, CONFIG)
-    a = with_match_texts(gated(spark, sf), False)
+    a = with_match_texts(gated(spark, sf))
     return a.select("ord", i.deal().alias("deal"), i.concrete_event().alias("concrete"), i.discussion().alias("talk"), i.global_tech().alias("global"), i.market().alias("market"), i.watch().alias("watch"), i.core().alias("core"), i.can_enter().alias("enters"))
 
 
 @query(rf"""WITH {_FLAGS}, k AS (SELECT ord, importance, published_at, length(trim(regexp_replace(ti, '[^a-z0-9]+', ' ', 'g'))) AS n FROM s6)
     SELECT ord, importance, CAST(row_number() OVER (ORDER BY importance DESC, n DESC, published_at DESC NULLS LAST, ord) AS INTEGER) AS rank FROM k QUALIFY rank <= 100""")
 def q_importance(spark, sf):
-    s = scored(gated(spark, sf), VOCABULARY, CONFIG, False).select("ord", "importance", "title_length", "published_at")
+    s = scored(gated(spark, sf), VOCABULARY, CONFIG).select("ord", "importance", "title_length", "published_at")
     return select.ranked(s, digest.order(), 100).select("ord", "importance", F.col("rank").cast("int").alias("rank"))
 
 
@@ -384,7 +415,7 @@ def q_importance(spark, sf):
     WHEN {_v("quick_company")} THEN '公司动态' WHEN feed_role = 'breaking_news' THEN '综合新闻' ELSE '其他观察' END AS kind FROM s5"""
 )
 def q_quick_scan_type(spark, sf):
-    return with_match_texts(gated(spark, sf), False).select("ord", Item(VOCABULARY, CONFIG).quick_scan_type().alias("kind"))
+    return with_match_texts(gated(spark, sf)).select("ord", Item(VOCABULARY, CONFIG).quick_scan_type().alias("kind"))
 
 
 def _first(name: str, column: str = "t") -> str:
@@ -399,22 +430,48 @@ def _first(name: str, column: str = "t") -> str:
 )
 def q_explanations(spark, sf):
     i = Item(VOCABULARY, CONFIG)
-    return with_match_texts(gated(spark, sf), False).select("ord", i.rule_reason().alias("rule"), i.watch_impact().alias("watched"))
+    return with_match_texts(gated(spark, sf)).select("ord", i.rule_reason().alias("rule"), i.watch_impact().alias("watched"))
 
 
-@query()
+_RULES = "，可作为监管、合规或反垄断风险信号观察。"
+_CAPITAL, _COMPANY = "，可作为营收、利润率、估值或资本市场信号观察。", "，可作为资本市场或公司估值信号观察。"
+_MOOD, _CHIPS, _PLATFORM = "，可观察其对市场交易情绪的影响。", "，可作为企业客户、云、芯片或算力订单信号观察。", "，可作为平台集成、分发渠道或商业发布信号观察。"
+_IMPACTS = [
+    ("global_tech_backing", "ti", "，可作为估值、融资或战略背书信号观察。"), ("market_price", "ti", _MOOD), ("global_tech_capital", "ti", _CAPITAL), ("capital_market", "ti", _COMPANY),
+    ("global_tech_payment", "ti", "，可作为 AI 支付、agent commerce 或支付基础设施信号观察。"), ("global_tech_regulatory", "ti", _RULES), ("global_tech_enterprise", "ti", _CHIPS), ("global_tech_platform", "ti", _PLATFORM),
+    ("market_price", "t", _MOOD), ("global_tech_capital", "t", _CAPITAL), ("capital_market", "t", _COMPANY), ("global_tech_payment", "t", "，可作为支付基础设施或 commerce 生态信号观察。"), ("global_tech_regulatory", "t", _RULES),
+    ("global_tech_enterprise", "t", _CHIPS), ("global_tech_platform", "t", _PLATFORM), ("policy", "t", "，可能影响政策预期和相关板块关注度。"), ("global_tech_domain", "t", "，可作为 AI 商业化、支付基础设施或平台生态信号观察。"),
+]
+
+
+@query(
+    f"""WITH {_FLAGS} SELECT ord, CASE WHEN {_v("overseas_rate")} THEN '涉及' || {_first("overseas_rate")} || '，可能影响风险偏好、汇率利率预期或 A 股情绪。'
+    WHEN deal THEN '涉及' || array_to_string(list_filter([{_first("global_tech_deal", "ti")}, {_first("global_tech_deal_market", "ti")}, CASE WHEN {_BILLION} THEN 'billion-scale amount' END], lambda z: z IS NOT NULL), ' / ') || '，可作为并购、交易规模、IPO 或估值信号观察。'
+    {" ".join(f"WHEN {_v(n, c)}{' AND global' if n in ('global_tech_payment', 'global_tech_domain') else ''} THEN '涉及' || {_first(n, c)} || '{x}'" for n, c, x in _IMPACTS)}
+    WHEN {_v("industry")} THEN '作为产业动态观察，短期市场影响可能有限。' ELSE '作为市场边缘信号观察。' END AS impact FROM s5"""
+)
 def q_market_impact(spark, sf):
-    return with_match_texts(gated(spark, sf), False).select("ord", Item(VOCABULARY, CONFIG).market_impact().alias("impact"))
+    return with_match_texts(gated(spark, sf)).select("ord", Item(VOCABULARY, CONFIG).market_impact().alias("impact"))
 
 
-@query()
+_NAMES = r"list_filter(regexp_extract_all(rt, '\b[A-Z][A-Za-z0-9.]+\b'), lambda z: NOT list_contains({0}, z))"
+_ONCE = "list_filter({0}, lambda z, i: list_position({0}, z) = i)"
+
+
+@query(
+    rf"""WITH {_FLAGS}, e AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(ti, '\$\s?({_NUM})\s?(?:bn?|billion)\b', '\1b', 'g'), '\b({_NUM})\s?billion\b', '\1b', 'g'), '[^a-z0-9\x{{4e00}}-\x{{9fff}}]+', ' ', 'g')) AS normal,
+      list_transform({_NAMES.format("['AI', 'IPO', 'GPT', 'LLM']")}, lambda z: lower(z)) AS d0, list_transform(list_filter(regexp_extract_all(rt, '\b[A-Z][A-Za-z0-9.]+\b'), lambda z: NOT list_contains(['AI', 'ROI', 'IPO', 'IPOS', 'LLM', 'CEO'], upper(z))), lambda z: lower(z)) AS t0 FROM s1),
+    k AS (SELECT *, {_ONCE.format("d0")} AS d, {_ONCE.format("t0")} AS u, regexp_extract(normal, '\b{_NUM}b\b') AS amount, {_first("discussion_topic", "ti")} AS topic FROM e)
+    SELECT ord, CASE WHEN NOT deal THEN '' WHEN amount <> '' AND len(d) >= 2 THEN 'deal:' || amount || ':' || array_to_string(list_sort(d[1:3]), ':') ELSE 'deal:' || normal END AS deal_key,
+    CASE WHEN talk AND len(u) >= 2 AND topic IS NOT NULL THEN 'discussion:' || array_to_string(u[1:3], ':') || ':' || topic ELSE '' END AS discussion_key FROM k"""
+)
 def q_event_keys(spark, sf):
-    return scored(gated(spark, sf), VOCABULARY, CONFIG, False).select("ord", "deal_key", "discussion_key")
+    return scored(gated(spark, sf), VOCABULARY, CONFIG).select("ord", "deal_key", "discussion_key")
 
 
 @query()
 def q_digest_sections(spark, sf):
-    return digest.sections(gated(spark, sf), CONFIG, VOCABULARY, False).select("section", "rank", "ord", "source")
+    return digest.sections(gated(spark, sf), CONFIG, VOCABULARY).select("section", "rank", "ord", "source")
 
 
 @query(
@@ -425,7 +482,7 @@ def q_digest_sections(spark, sf):
 def q_flagship(spark, sf):
     """Keyword gate, first of each title, section, at most three of a source, the best 25."""
     a = where_computed(gated(spark, sf), F.size(F.map_keys("matched_keywords")) > 0)
-    s = where_computed(scored(a, VOCABULARY, CONFIG, False), F.col("section").isNotNull()).select("ord", "section", "source", "importance", "title_length", "published_at", F.md5(F.lower(tx.clean(F.col("title"), False))).alias("key"))
+    s = where_computed(scored(a, VOCABULARY, CONFIG), F.col("section").isNotNull()).select("ord", "section", "source", "importance", "title_length", "published_at", F.md5(F.lower(tx.clean(F.col("title")))).alias("key"))
     best = select.ranked(select.at_most(select.first_by(s, ["key"], [F.col("ord")]), ["source"], digest.order(), 3), digest.order(), 25)
     return best.select("ord", "section", "source", "importance", F.col("rank").cast("int").alias("rank"))
 
@@ -489,7 +546,7 @@ def q_market_news(spark, sf):
 
 
 _KEY = "['减持', '退市', '并购重组', '问询', 'x'][event_id % 5 + 1]"
-_EV = f"e AS (SELECT event_id AS ord, {_KEY} || ' ' || event_type AS title, CAST(floor(value) AS INTEGER) AS score, {_KEY} AS k FROM events WHERE event_id < 2000)"
+_EV = f"e AS (SELECT event_id AS ord, {_KEY} || ' ' || event_type AS title, CAST(floor(value) AS INTEGER) AS score, {_KEY} AS k FROM events)"
 
 
 @query(
@@ -498,7 +555,7 @@ _EV = f"e AS (SELECT event_id AS ord, {_KEY} || ' ' || event_type AS title, CAST
     SELECT first AS ord, CAST(top + 20 * (n - 1) AS INTEGER) AS score, length(rest) + CASE WHEN n > 1 THEN 10 * (n - 1) - (n - 2) ELSE 0 END AS more FROM s"""
 )
 def q_policy_merge(spark, sf):
-    e = table(spark, sf, "events").where("event_id < 2000")
+    e = table(spark, sf, "events")
     name = F.element_at(F.array(*[F.lit(x) for x in ("减持", "退市", "并购重组", "问询", "x")]), (F.pmod("event_id", F.lit(5)) + 1).cast("int"))
     rows = e.select(F.col("event_id").alias("ord"), F.concat_ws(" ", name, "event_type").alias("title"), F.lit("s").alias("source"), F.lit("").alias("link"), F.lit("").alias("reason"), F.floor("value").cast("int").alias("score"), F.lit(fn.POLICY).alias("news_type"))
     return news.consolidate_policies(rows).select("ord", "score", F.length("reason").cast("long").alias("more"))
@@ -542,10 +599,99 @@ def q_holding_theta(spark, sf):
 # -- joins, sets and validation over the star schema
 
 
-@query("""SELECT d.doc_id, l.doc_id IS NOT NULL AS labelled, coalesce(l.quality = 1, false) AS good FROM documents d LEFT JOIN (SELECT doc_id, arg_max(quality, toxic) AS quality FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id""")
+_SCAN = replace(CONFIG, report_type="list", days_back=3, max_items_per_feed=5)
+_DAY = datetime(2024, 1, 31)
+
+
+def entries(spark: SparkSession, sf: str) -> DataFrame:
+    """documents as feed entries, their source as feed: some without title, link or time, pairs with one link but for its tracking keys."""
+    i = F.col("doc_id")
+    path = F.concat(F.lit("https://News.Example/"), "source", F.lit("/"), (i - i % 2).cast("string"), F.lit("/?utm_source=x&a="), (F.floor(i / 2) % 3).cast("string"), F.lit("#f"))
+    none = F.lit(None).cast("string")
+    return table(spark, sf, "documents").select(
+        F.col("source").alias("feed_name"), F.lit("general").alias("feed_role"), F.regexp_extract("source", r"\d+", 0).cast("int").alias("feed_ord"), i.alias("entry_ord"), F.col("lang").alias("language"),
+        F.when(i % 11 == 0, "").otherwise(F.substring(F.substring_index("text", "\n", 1), 1, 80)).alias("title"), F.when(i % 13 == 0, "").otherwise(path).alias("link"), F.col("text").alias("summary"),
+        *[none.alias(c) for c in ("description", "author", "published", "updated")],
+        F.when(i % 17 != 0, F.lit("2024-01-31 00:00:00").cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(0), F.pmod("doc_id", F.lit(20000)).cast("int"))).cast("timestamp").alias("published_ts"), F.lit(None).cast("timestamp").alias("updated_ts"),
+    )
+
+
+def _found(spark: SparkSession, sf: str) -> DataFrame:
+    return candidates.candidates(entries(spark, sf), _SCAN, _DAY.date(), _DAY)
+
+
+def _feeds(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(f"src{i}", "all" if i % 5 == 0 else "keyword") for i in range(12)], "name string, mode string")
+
+
+_GATE = " OR ".join(_has(k, "match") for k in KEYWORDS.values())
+_ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S+00:00')"
+_E = f"""en AS (
+  SELECT doc_id, source AS feed_name, CAST(regexp_extract(source, '\\d+') AS INTEGER) AS feed_ord, doc_id AS entry_ord, lang, CASE WHEN doc_id % 11 = 0 THEN '' ELSE substr(string_split(text, chr(10))[1], 1, 80) END AS raw,
+    CASE WHEN doc_id % 13 = 0 THEN '' ELSE 'https://News.Example/' || source || '/' || (doc_id - doc_id % 2) || '/?utm_source=x&a=' || (doc_id // 2 % 3) || '#f' END AS link,
+    CASE WHEN doc_id % 13 = 0 THEN '' ELSE 'https://news.example/' || source || '/' || (doc_id - doc_id % 2) || '?a=' || (doc_id // 2 % 3) END AS norm, text AS summary,
+    CASE WHEN doc_id % 17 <> 0 THEN TIMESTAMP '2024-01-31 00:00:00' - to_minutes(doc_id % 20000) END AS tm FROM documents
+), ca AS (
+  SELECT *, CASE WHEN {_clean("raw")} = '' THEN 'Untitled' ELSE {_clean("raw")} END AS title, lower({_clean("raw || ' ' || summary")}) AS match FROM en
+  WHERE ({_clean("raw")} <> '' OR link <> '') AND (link <> '' OR tm IS NOT NULL) AND (tm IS NULL OR (tm >= TIMESTAMP '2024-01-29 00:00:00' AND tm < TIMESTAMP '2024-02-01 00:00:00'))
+), cand AS (
+  SELECT *, 'art_' || substr(sha256(CASE WHEN norm <> '' THEN 'link:' || norm ELSE 'fallback:' || lower(feed_name) || ':' || lower(title) || ':' || coalesce({_ISO.format("tm")}, '') END), 1, 24) AS article_id FROM ca
+), uniq AS (
+  SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY CASE WHEN norm <> '' THEN norm ELSE article_id END ORDER BY feed_ord, entry_ord) = 1
+), gate AS (SELECT * FROM {{0}} WHERE link <> '' AND (feed_name IN ('src0', 'src5', 'src10') OR {_GATE}))"""
+
+
+@query(f"""WITH {_E.format("cand")} SELECT article_id, feed_name, entry_ord, title, norm AS normalized_link, {_ISO.format("tm")} AS published_at, md5({_clean("summary")}) AS summary, md5(match) AS match_text, CASE lower(lang) WHEN 'en' THEN 'en' WHEN 'zh-cn' THEN 'zh-CN' ELSE 'und' END AS language FROM cand""")
+def q_candidates(spark, sf):
+    return _found(spark, sf).select("article_id", "feed_name", "entry_ord", "title", "normalized_link", tx.iso_utc(F.col("published_at")).alias("published_at"), F.md5("summary").alias("summary"), F.md5("legacy_match_text").alias("match_text"), "language")
+
+
+@query(f"WITH {_E.format('cand')} SELECT article_id, entry_ord FROM uniq")
+def q_unique_candidates(spark, sf):
+    return candidates.unique_candidates(_found(spark, sf)).select("article_id", "entry_ord")
+
+
+@query(f"""WITH {_E.format("cand")} SELECT entry_ord, array_to_string(list_filter([{", ".join(f"CASE WHEN {_n(k, 'match')} > 0 THEN '{c}: ' || array_to_string(list_filter([{', '.join(chr(39) + x + chr(39) for x in k)}], lambda z: contains(match, lower(z))), ', ') END" for c, k in KEYWORDS.items())}], lambda z: z IS NOT NULL), '; ') AS matched FROM gate""")
+def q_gated_items(spark, sf):
+    own = candidates.items(candidates.with_feed_mode(_found(spark, sf), _feeds(spark)), KEYWORDS, F.col("mode"))
+    return own.select("entry_ord", format_matched(F.col("matched_keywords")).alias("matched"))
+
+
+_LEGACY = "legacy AS (SELECT * FROM (SELECT * FROM gate QUALIFY row_number() OVER (PARTITION BY link ORDER BY feed_ord, entry_ord) = 1) QUALIFY row_number() OVER (PARTITION BY feed_name ORDER BY feed_ord, entry_ord) <= 5)"
+
+
+def _legacy(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    unique = candidates.unique_candidates(_found(spark, sf))
+    return unique, candidates.legacy_items(unique, KEYWORDS, _feeds(spark), 5)
+
+
+@query(f"WITH {_E.format('uniq')}, {_LEGACY} SELECT feed_name, entry_ord FROM legacy")
+def q_legacy_items(spark, sf):
+    return _legacy(spark, sf)[1].select("feed_name", "entry_ord")
+
+
+@query(
+    f"""WITH {_E.format("uniq")}, {_LEGACY} SELECT u.article_id, l.norm IS NOT NULL AS legacy_selected, coalesce({_GATE.replace("match", "l.match")}, false) AS legacy_keyword_matched,
+    CASE WHEN l.norm IS NULL THEN 'not_selected_by_legacy_keyword_gate_or_limits' ELSE '' END AS legacy_reject_reason FROM uniq u LEFT JOIN legacy l ON l.norm = u.norm"""
+)
 def q_trace_left_join(spark, sf):
-    right = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("_id")).agg(F.max_by("quality", "toxic").alias("quality"))
-    return table(spark, sf, "documents").select("doc_id").join(right, F.col("doc_id") == F.col("_id"), "left").select("doc_id", F.col("_id").isNotNull().alias("labelled"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("good"))
+    return candidates.trace(*_legacy(spark, sf)).select("article_id", "legacy_selected", "legacy_keyword_matched", "legacy_reject_reason")
+
+
+@query(f"""WITH {_E.format("cand")} SELECT {_ISO.format("min(tm)")} AS window_start, {_ISO.format("max(tm)")} AS window_end FROM cand""")
+def q_candidate_windows(spark, sf):
+    return candidates.windows(_found(spark, sf)).select(*[tx.iso_utc(F.col(c)).alias(c) for c in ("window_start", "window_end")])
+
+
+@query(
+    f"""WITH RECURSIVE {_E.format("cand")}, feeds AS (SELECT feed_ord, feed_name, dense_rank() OVER (ORDER BY feed_ord) AS i, list({{'k': link, 'e': entry_ord}} ORDER BY entry_ord) AS own FROM (SELECT * FROM gate QUALIFY row_number() OVER (PARTITION BY feed_name, link ORDER BY entry_ord) = 1) GROUP BY 1, 2),
+    r AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS seen, CAST([] AS BIGINT[]) AS picked
+      UNION ALL SELECT i, list_concat(seen, list_transform(p, lambda x: x.k)), list_transform(p, lambda x: x.e) FROM (SELECT f.i AS i, r.seen AS seen, list_filter(f.own, lambda x: NOT list_contains(r.seen, x.k))[1:5] AS p FROM r JOIN feeds f ON f.i = r.i + 1))
+    SELECT unnest(picked) AS entry_ord FROM r"""
+)
+def q_collect_news(spark, sf):
+    gate = candidates.items(candidates.with_feed_mode(_found(spark, sf), _feeds(spark)), KEYWORDS, F.col("mode"))
+    return candidates.collect_news(gate.select("entry_ord", "feed_ord", "feed_name", "link"), _SCAN).select("entry_ord")
 
 
 _PCT = "CASE WHEN avg(c_acctbal) > 0 THEN round(avg(c_acctbal) - 4500) / 100 END"
@@ -577,12 +723,12 @@ def q_temperature(spark, sf):
     return quotes.index_mood(indexes).crossJoin(quotes.leader_gap(indexes).select("leader", "others"))
 
 
-_EVENTS = "ev AS (SELECT o_orderkey AS event_ord, list(l_partkey ORDER BY l_linenumber, l_partkey) AS ids FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 4000 GROUP BY 1)"
+_EVENTS = "ev AS (SELECT o_orderkey AS event_ord, list(l_partkey ORDER BY l_linenumber, l_partkey) AS ids FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)"
 
 
 def _events(spark, sf) -> DataFrame:
-    lines = table(spark, sf, "lineitem").where("l_orderkey < 4000").select("l_orderkey", "l_partkey", "l_linenumber")
-    o = table(spark, sf, "orders").where("o_orderkey < 4000").select("o_orderkey")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    o = table(spark, sf, "orders").select("o_orderkey")
     ids = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda s: s["l_partkey"].cast("string"))
     return o.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_orderkey").alias("event_ord")).agg(ids.alias("evidence_article_ids"))
 
@@ -608,7 +754,7 @@ pairs AS (SELECT DISTINCT reference_id, event_ord FROM g, ev WHERE list_has_any(
 
 
 @query(
-    f"""WITH {_EVENTS.replace("4000", "800")}, {_GOLD}, bg AS (SELECT list('e' || event_ord ORDER BY 'e' || event_ord) AS ids FROM ev WHERE event_ord % 50 = 0)
+    f"""WITH {_EVENTS}, {_GOLD}, bg AS (SELECT list('e' || event_ord ORDER BY 'e' || event_ord) AS ids FROM ev WHERE event_ord % 50 = 0)
     SELECT 'must_include_missing' AS metric, reference_id, CAST([] AS VARCHAR[]) AS ids FROM g WHERE tier = 'must_include_at_10' AND reference_id NOT IN (SELECT reference_id FROM pairs)
     UNION ALL SELECT 'background_over_priority', '', ids FROM bg WHERE len(ids) > 0 AND (SELECT count(*) FROM g WHERE reference_id NOT IN (SELECT reference_id FROM pairs)) > 0
     UNION ALL SELECT * FROM (SELECT 'forbidden_evidence_binding', reference_id, list_transform(list_filter(forb, lambda f: list_contains(seen, f)), lambda f: CAST(f AS VARCHAR)) AS ids
@@ -618,7 +764,7 @@ pairs AS (SELECT DISTINCT reference_id, event_ord FROM g, ev WHERE list_has_any(
 )
 def q_gold_overlap(spark, sf):
     o = F.col("event_ord")
-    events = _events(spark, sf).where("event_ord < 800").select(
+    events = _events(spark, sf).select(
         F.concat(F.lit("e"), o.cast("string")).alias("event_id"), "evidence_article_ids", F.when(o % 50 == 0, "background").otherwise("important").alias("importance"), F.when(o % 2 == 0, "plain").otherwise("x said y").alias("canonical_title"),
         F.lit("z said w").alias("summary"), F.when(o % 3 == 0, "high").otherwise("low").alias("confidence"), F.array().cast("array<string>").alias("uncertainties"),
     )
