@@ -48,7 +48,7 @@ def violations(responses: DataFrame, events: DataFrame, rejected: DataFrame, art
     out.append(_violation(events, size == 0, at(20), "evidence_required", path))
     ids = events.select("response_id", "pos", F.explode("evidence_article_ids").alias("_id")).withColumn("_id", tx.strip(F.col("_id")))
     out.append(_violation(ids.join(known, ["response_id", "_id"], "left_anti"), F.lit(True), at(21), "unknown_evidence_article_id", path))
-    out.append(_violation(events, size > F.size(F.array_distinct("evidence_article_ids")), at(22), "duplicate_evidence_article_id", path))
+    out.append(_violation(events, size > F.size(F.array_distinct(F.transform("evidence_article_ids", tx.strip))), at(22), "duplicate_evidence_article_id", path))
     seen = events.groupBy("response_id", "event_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("pos")).alias("p"))
     out.append(_violation(seen.where("n > 1").withColumn("pos", F.col("p")[1]), F.lit(True), at(30), "duplicate_event_id", "events.event_id"))
     late = lambda check: 10**9 + F.col("pos") * 10 + check

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
+from datetime import date, datetime, timezone
+from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import links
@@ -14,6 +17,7 @@ from ..functions.vocab import default_vocabulary
 
 _V = default_vocabulary()
 REQUIRED = "code name market sector".split()
+_FORBIDDEN = frozenset(x.lower() for x in _V["curator.forbidden_candidate_fixture_fields"])
 FIELDS, SENSITIVE = _V["holding.allowed_holding_fields"], _V["holding.sensitive_holding_fields"]
 
 
@@ -69,6 +73,57 @@ def candidate_rows(rows: DataFrame) -> DataFrame:
     return own.withColumn("_again", again).select("ord", F.coalesce("_code", F.when(F.col("_again"), "duplicate_candidate_key")).alias("code")).where("code is not null")
 
 
+_TEXT_FIELDS = ("article_id", "title", "summary", "source", "feed_name", "feed_role", "link", "normalized_link", "author", "language")
+
+
+def candidate_fixture(path: str | Path, collected_at: datetime | None = None) -> tuple[date, list[dict[str, Any]]]:
+    """(report date, candidates in their order) of a fixture file, or ValueError: its root, what it may not hold, then the rules of candidate_rows by the first row that breaks one.
+
+    Links are normalised and ids derived as in a scan; collected_at is now unless given. A file is small: its rows are checked by the session in one pass.
+    """
+    try:
+        payload = json.loads(Path(path).read_text(encoding="utf-8"))
+    except FileNotFoundError:
+        raise ValueError(f"there is no candidate fixture {path}") from None
+    except json.JSONDecodeError as failure:
+        raise ValueError(f"the candidate fixture {path} isn't JSON: {failure}") from None
+    if not isinstance(payload, Mapping) or payload.get("schema_version") != "1.0":
+        raise ValueError("a candidate fixture is an object with schema_version 1.0")
+    try:
+        day = date.fromisoformat(str(payload.get("report_date") or "").strip())
+    except ValueError:
+        raise ValueError("report_date must be an ISO date") from None
+    listed = payload.get("articles")
+    if not isinstance(listed, list):
+        raise ValueError("articles must be a list")
+    rows = []
+    for i, raw in enumerate(listed, 1):
+        if not isinstance(raw, Mapping):
+            raise ValueError(f"article {i} must be an object")
+        if barred := sorted(_FORBIDDEN & {str(k).lower() for k in raw}):
+            raise ValueError(f"article {i} must not have {', '.join(barred)}")
+        if "published_at" not in raw:
+            raise ValueError(f"article {i}: missing_published_at")
+        at = raw["published_at"]
+        rows.append((i, *[str(raw.get(c, "") or "").strip() for c in _TEXT_FIELDS], None if at is None else str(at).strip(), str(raw.get("report_date", day.isoformat())).strip(), day.isoformat()))
+    if not rows:
+        return day, []
+    columns = ["ord int", *[f"{c} string" for c in (*_TEXT_FIELDS, "published_at", "report_date", "expected_date")]]
+    given = SparkSession.active().createDataFrame(rows, ", ".join(columns))
+    if wrong := candidate_rows(given).orderBy("ord").first():
+        raise ValueError(f"article {wrong['ord']}: {wrong['code']}")
+    at = F.try_to_timestamp(F.replace(F.col("published_at"), F.lit("Z"), F.lit("+00:00")))
+    norm = F.coalesce(F.nullif(F.col("normalized_link"), F.lit("")), links.normalize_link(F.col("link")))
+    plain = [c for c in _TEXT_FIELDS if c not in ("article_id", "normalized_link", "language")]
+    done = given.select("ord", *plain, norm.alias("normalized_link"), tx.language(F.col("language")).alias("language"), at.alias("at"), links.article_id(norm, F.col("source"), F.col("title"), at).alias("article_id"), F.unix_micros(at).alias("micros"))
+    when = collected_at or datetime.now(timezone.utc)
+    out = []
+    for r in done.orderBy("ord").collect():
+        stamp = None if r["micros"] is None else datetime.fromtimestamp(r["micros"] / 1e6, timezone.utc)
+        out.append({c: r[c] for c in (*plain, "normalized_link", "language", "article_id")} | {"published_at": stamp, "report_date": day, "collected_at": when})
+    return day, out
+
+
 def gold(payload: Any) -> dict:
     """A reference set as it is, or ValueError."""
     import re

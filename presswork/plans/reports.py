@@ -320,7 +320,7 @@ def health_table(results: DataFrame) -> str:
     return "\n".join([*lines, *["| " + " | ".join(flat(r[c]) for c in columns) + " |" for r in (x.asDict() for x in health.in_order(results).collect())]])
 
 
-NAMES = {"list": "daily-news", "digest": "daily-news", "market_brief": "market-brief", "overnight_brief": "overnight-brief"}
+NAMES = {"list": "daily-news", "digest": "daily-news", "market_brief": "market-brief", "overnight_brief": "morning-brief"}
 
 
 def write(text: str, folder: str | Path, kind: str, day: date) -> Path:

@@ -5,19 +5,22 @@ Without the option network, only files are read: captured payloads beside the li
 
 from __future__ import annotations
 
+import logging
 import time
 import urllib.request
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..config import FEED_ROLES, load_json
 from ..functions.text import _parse_mail_date
 
+_LOG = logging.getLogger(__name__)
 TIMEOUT_S, ATTEMPTS, DELAY_S = 15, 2, 3
 _LANGUAGES = {"zh-cn": "zh-CN", "en": "en", "und": "und"}
 
@@ -75,28 +78,28 @@ _TAGS = {"title": "title", "summary": "summary", "description": "description", "
 
 
 def parse_payload(payload: bytes) -> tuple[list[dict[str, str]], str]:
-    """(entries, error) of RSS or Atom. A document that breaks off keeps the entries before the break."""
-    entries, error, depth = [], "", 0
-    parser = ET.XMLPullParser(["start", "end"])
+    """(entries, error) of RSS or Atom. A document that breaks off keeps the entries before the break; a whole one without entries has neither."""
+    entries: list[dict[str, str]] = []
+    error = ""
+    parser = ET.XMLPullParser(["end"])
     try:
         for lo in range(0, len(payload), 1 << 16):
             parser.feed(payload[lo : lo + (1 << 16)])
-            depth = _take(parser, entries, depth)
+            _take(parser, entries)
         parser.close()
     except ET.ParseError as failure:
         error = str(failure)
-    _take(parser, entries, depth)
-    return entries, error or ("" if entries or depth == 0 else "no entries")
+    _take(parser, entries)
+    return entries, error
 
 
-def _take(parser: ET.XMLPullParser, entries: list[dict[str, str]], depth: int) -> int:
+def _take(parser: ET.XMLPullParser, entries: list[dict[str, str]]) -> None:
     try:
-        for event, node in parser.read_events():
-            if event == "end" and node.tag.rpartition("}")[2] in ("item", "entry"):
+        for _, node in parser.read_events():
+            if node.tag.rpartition("}")[2] in ("item", "entry"):
                 entries.append(_entry(node))
-    except ET.ParseError:
+    except ET.ParseError:  # it is reported by close
         pass
-    return depth
 
 
 def _entry(node: ET.Element) -> dict[str, str]:
@@ -113,22 +116,29 @@ def _entry(node: ET.Element) -> dict[str, str]:
     return out
 
 
-def fetch(url: str, network: bool, attempts: int = ATTEMPTS, delay_s: float = DELAY_S) -> bytes:
-    """A file's or URL's bytes; the last failure after so many attempts."""
-    last: Exception = RuntimeError("no attempt")
-    for attempt in range(attempts):
+def fetch(url: str, network: bool) -> bytes:
+    """A file's or URL's bytes."""
+    if "://" not in url or url.startswith("file://"):
+        return Path(url.removeprefix("file://")).read_bytes()
+    if not network:
+        raise RuntimeError("the network isn't allowed here: option network")
+    with urllib.request.urlopen(urllib.request.Request(url, headers={"Accept": "application/rss+xml, application/atom+xml, text/xml"}), timeout=TIMEOUT_S) as answer:
+        return answer.read()
+
+
+def scan(url: str, network: bool, attempts: int = ATTEMPTS, delay_s: float = DELAY_S, get: Callable[[str, bool], bytes] = fetch) -> tuple[list[dict[str, str]], str]:
+    """(entries, error) of a feed. It is tried again where it can't be had or nothing can be read of it; what an attempt can read of it, and a whole feed without entries, stands."""
+    error = "no attempt"
+    for left in range(attempts - 1, -1, -1):
         try:
-            if "://" not in url or url.startswith("file://"):
-                return Path(url.removeprefix("file://")).read_bytes()
-            if not network:
-                raise RuntimeError("the network isn't allowed here: option network")
-            with urllib.request.urlopen(urllib.request.Request(url, headers={"Accept": "application/rss+xml, application/atom+xml, text/xml"}), timeout=TIMEOUT_S) as answer:
-                return answer.read()
+            entries, error = parse_payload(get(url, network))
+            if entries or not error:
+                return entries, error
         except Exception as failure:  # one feed's failure is a row, not the end of the others
-            last = failure
-            if attempt + 1 < attempts and network:
-                time.sleep(delay_s)
-    raise RuntimeError(str(last))
+            error = str(failure) or type(failure).__name__
+        if left and network:
+            time.sleep(delay_s)
+    return [], error
 
 
 class _Feed(InputPartition):
@@ -139,7 +149,8 @@ class _Feed(InputPartition):
 
 class FeedReader(DataSourceReader):
     def __init__(self, options: Mapping[str, str]) -> None:
-        self.feeds = normalize_feeds(load_json(options["path"]))
+        self.feeds = normalize_feeds(load_json(options["path"]), str(options.get("strict", "true")).lower() == "true")
+        self.attempts = int(options.get("attempts", ATTEMPTS))
         self.base, self.network = Path(options["path"]).parent, str(options.get("network", "false")).lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
@@ -148,12 +159,12 @@ class FeedReader(DataSourceReader):
     def read(self, partition: _Feed) -> Iterator[tuple]:
         feed, url = partition.feed, partition.feed["url"]
         head = (feed["name"], feed["role"], partition.ord)
-        try:
-            entries, error = parse_payload(fetch(url if "://" in url else str(self.base / url), self.network))
-        except RuntimeError as failure:
-            entries, error = [], str(failure)
-        if not entries:
-            yield (*head, None, feed["language"], *[None] * 9, error or "no entries")
+        entries, error = scan(url if "://" in url else str(self.base / url), self.network, self.attempts)
+        if error and entries:
+            _LOG.warning("feed %s (%s) is malformed, its %d readable entries are kept: %s", feed["name"], url, len(entries), error)
+        elif error:
+            _LOG.warning("feed %s (%s) failed: %s", feed["name"], url, error)
+            yield (*head, None, feed["language"], *[None] * 9, error)
         at = lambda v: None if (t := _parse_mail_date(v) or _iso(v)) is None else t.to_pydatetime()
         for i, e in enumerate(entries):
             yield (*head, i, feed["language"], *[e.get(c) for c in ("title", "link", "summary", "description", "author", "published", "updated")], at(e.get("published")), at(e.get("updated")), error or None)
@@ -167,7 +178,8 @@ def _iso(value: str | None):
 
 
 class FeedSource(DataSource):
-    """spark.read.format("presswork_feeds").load("feeds.json"): entries of all feeds; a feed without any is one row with entry_ord null and its error."""
+    """spark.read.format("presswork_feeds").load("feeds.json"): entries of all feeds. A feed that failed is one row with entry_ord null and its error; a whole feed
+    without entries is no row; entries of a malformed feed carry its error. Options: network (false), attempts, strict (true: modes and roles must be known)."""
 
     @classmethod
     def name(cls) -> str:
@@ -180,8 +192,22 @@ class FeedSource(DataSource):
         return FeedReader(self.options)
 
 
+def probes(spark: SparkSession, path: str, network: bool = False) -> DataFrame:
+    """(name, url, category, mode, role, entries_count, error_message): what one attempt at each feed of the list finds."""
+    listed = normalize_feeds(load_json(path), strict=False)
+    columns = ("name", "url", "category", "mode", "role")
+    feeds = spark.createDataFrame([(i, *[f[c] for c in columns]) for i, f in enumerate(listed)], "ord int, " + ", ".join(f"{c} string" for c in columns))
+    found = _rows(spark, path, network, attempts="1", strict="false").groupBy("feed_ord").agg(F.count("entry_ord").alias("n"), F.max("error").alias("error"))
+    joined = feeds.join(found, F.col("ord") == F.col("feed_ord"), "left")
+    return joined.select(*columns, F.coalesce("n", F.lit(0)).alias("entries_count"), F.coalesce("error", F.lit("")).alias("error_message"))
+
+
+def _rows(spark: SparkSession, path: str, network: bool, **options: str) -> DataFrame:
+    spark.dataSource.register(FeedSource)
+    return spark.read.format("presswork_feeds").options(network=str(network).lower(), **options).load(path)
+
+
 def read_feeds(spark: SparkSession, path: str, network: bool = False) -> tuple[DataFrame, DataFrame]:
     """(entries, failures): feeds that failed don't stop the others."""
-    spark.dataSource.register(FeedSource)
-    rows = spark.read.format("presswork_feeds").option("network", str(network).lower()).load(path)
+    rows = _rows(spark, path, network)
     return rows.where("entry_ord is not null"), rows.where("entry_ord is null").select("feed_name", "error")
