@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,19 +25,45 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_MADE: dict[str, SparkSession] = {}
+
+
+def _remove(path: str, spark: SparkSession) -> None:
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the JVM may be gone already
+        pass
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path, spark in _MADE.items():
+        _remove(path, spark)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses; it is deleted when the session's driver ends."""
+    """A path in the shared folder that nothing else uses; it is deleted when a scratch around it or the session's driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE[path] = spark
+    return path
 
-    def remove() -> None:
-        try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the JVM may be gone already
-            pass
 
-    atexit.register(remove)
-    return path
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes the intermediate tables that are made within it at its end: what reads them has to be written by then."""
+    before = set(_MADE)
+    try:
+        yield
+    finally:
+        for path in set(_MADE) - before:
+            _remove(path, _MADE.pop(path))
+
+
+def drop(path: str) -> None:
+    """Deletes an intermediate table that nothing reads any more."""
+    if path in _MADE:
+        _remove(path, _MADE.pop(path))
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
