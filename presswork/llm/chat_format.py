@@ -90,7 +90,8 @@ def chat(conversations: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_escaped, rendered) for each conversation, its turns by turn, then role, then text, nulls first.
 
     Every rendering has been parsed and found to be its turns. A null role or text is <|null|>, an empty one empty. Rows with a null conv_id are one
-    conversation; repeated rows are turns each; an empty table gives an empty result; other columns are ignored.
+    conversation; repeated rows, and turns of one number, are turns each; a very long text, or conversation, is rendered whole in one row; an empty table
+    gives an empty result; other columns, whatever their names, are ignored.
     """
     few = has(conversations, "conv_id", "turn", "role", "text")
     turns = few.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))

@@ -203,9 +203,11 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Gam | No
 def score(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, keep: float = KEEP) -> DataFrame:
     """(doc_id, quality, keep) for every row of docs: the probability of good quality, and whether it reaches keep.
 
-    A null or empty text scores as an empty one. Without any labelled document quality is null and every row is kept. Labels without a
-    document, and nulls in them, count for nothing. A null doc_id is carried along; repeated rows score alike; an empty table gives an empty
-    result; other columns are ignored.
+    A null or empty text scores as an empty one; a very long one is measured whole. Without any labelled document quality is null and every row is kept.
+    Labels without a document, and nulls in them, count for nothing; of labels of one doc_id that differ the greater counts, and rows that share the id are
+    examples each. Of cuts or pairs that gain the same the last cut and the first pair is taken, values on a cut belong above it, and a probability
+    that equals keep is kept. A null doc_id is carried along; repeated rows score alike; an empty table gives an empty result; other columns, whatever
+    their names, are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, bound))
 

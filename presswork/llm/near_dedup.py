@@ -34,6 +34,8 @@ SHARE = 0.5
 RECALL = 0.95
 #: Fingerprints of a leaf below the deepest level, and of a shuffled subtree.
 LEAF, SUBTREE = 256, 4096
+#: Fingerprints of a subtree beyond which its leaves of the deepest level are shuffled each for itself. The driver holds such subtrees' numbers: at most one for so many planted fingerprints.
+DENSE = 1 << 16
 #: Words of the candidates that one task compares; a group of more is cut in blocks, any two of which meet in a task.
 TASK_WORDS = 1 << 22
 #: Words of the groups of candidates that a task indexes at a time; a larger group is indexed whole.
@@ -148,6 +150,10 @@ def _permuted(fp: np.ndarray, trie: int) -> np.ndarray:
     return key
 
 
+def _prefix(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+
+
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The bits in which each of a differs from each of b."""
     out = np.zeros((len(a), len(b)), np.uint16)
@@ -204,26 +210,45 @@ def links(reps: DataFrame, n: int, distance: int = DISTANCE, recall: float = REC
     """Pairs (v, u), u < v, of distinct fingerprints' ids that lie within distance, enough to connect whatever met in a leaf."""
     short, deep, tries = forest_shape(n, distance, recall)
 
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """(batch, keys, numbers of the subtrees) for each trie."""
+        for batch in batches:
+            if batch.num_rows:
+                fp = np.stack([np.asarray(batch.column(c)).view(np.uint64) for c in FP], axis=1)
+                for t in range(tries):
+                    key = _permuted(fp, t)
+                    yield batch, key, _prefix(key, short) * tries + t
+
+    @at.tidy
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, node in nodes(batches):
+            number, n = np.unique(node, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(n)], ["node", "n"])
+
+    own = has(reps, "id", *FP)
+    dense = np.empty(0, np.int64)
+    if n > DENSE and deep > short:
+        found = own.mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") > DENSE)
+        dense = np.sort(found.select("node").toPandas()["node"].to_numpy(np.int64))
+    shared = reps.sparkSession.sparkContext.broadcast(dense)
+
     @at.tidy
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            fp = np.stack([np.asarray(batch.column(c)).view(np.uint64) for c in FP], axis=1)
-            for t in range(tries):
-                key = _permuted(fp, t)
-                node = (key >> np.uint64(64 - short) if short else np.zeros(len(key), np.uint64)).astype(np.int64) * tries + t
-                yield pa.RecordBatch.from_arrays([pa.array(node), *batch.columns], ["node", "id", *FP])
+        for batch, key, node in nodes(batches):
+            split = np.isin(node, shared.value)
+            node[split] = -1 - (_prefix(key[split], deep) * tries + node[split] % tries)
+            yield pa.RecordBatch.from_arrays([pa.array(node), *batch.columns], ["node", "id", *FP])
 
     @at.tidy_groups
     def climb(table: pa.Table) -> pa.Table:
         fp = np.stack([table.column(c).to_numpy().view(np.uint64) for c in FP], axis=1)
         ids = table.column("id").to_numpy()
-        key = _permuted(fp, int(table.column("node")[0].as_py()) % tries)
+        node = int(table.column("node")[0].as_py())
+        key = _permuted(fp, (node if node >= 0 else -1 - node) % tries)
         order = np.lexsort((ids, key))
         fp, ids, key = fp[order], ids[order], key[order]
         below, above = [], []
-        for lo, hi in _leaves(key, 0, len(key), short, deep):
+        for lo, hi in _leaves(key, 0, len(key), short if node >= 0 else deep, deep):
             label = _linked(fp[lo:hi], distance)
             joined = np.flatnonzero(label != np.arange(hi - lo))
             if len(joined):
@@ -232,7 +257,7 @@ def links(reps: DataFrame, n: int, distance: int = DISTANCE, recall: float = REC
                 above.append(np.maximum(a, b))
         return pa.table({"v": np.concatenate(above) if above else np.empty(0, np.int64), "u": np.concatenate(below) if below else np.empty(0, np.int64)})
 
-    planted = has(reps, "id", *FP).mapInArrow(plant, "node long, id long, f0 long, f1 long, f2 long, f3 long")
+    planted = own.mapInArrow(plant, "node long, id long, f0 long, f1 long, f2 long, f3 long")
     return planted.groupBy("node").applyInArrow(climb, "v long, u long").distinct()
 
 

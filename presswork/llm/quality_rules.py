@@ -138,9 +138,10 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Rules |
 def score(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, probability, verdict, keep) for every row of docs: verdict is bad, unsure or good by LOW and HIGH, keep goes by KEEP.
 
-    A null or empty text has no n-grams and scores the bias alone. Without any labelled document probability and verdict are null and every row
-    is kept. Labels without a document, and nulls in them, count for nothing. A null doc_id is carried along; repeated rows score alike; an
-    empty table gives an empty result; other columns are ignored.
+    A null or empty text has no n-grams and scores the bias alone; a very long one is read whole. Without any labelled document probability and verdict are
+    null and every row is kept. Labels without a document, and nulls in them, count for nothing; of labels of one doc_id that differ the greater counts, and
+    rows that share the id are examples each. A probability that equals a threshold reaches it. A null doc_id is carried along; repeated rows score
+    alike; an empty table gives an empty result; other columns, whatever their names, are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, bound))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from ..shared import new_path, shared_dir, stage
+from ..shared import drop, new_path, scratch, shared_dir, stage
 
 #: Ids up to this number are broadcast (16 bytes each in Spark's long map); beyond it both sides are shuffled.
 BROADCAST_IDS = 1_000_000
@@ -53,4 +53,4 @@ def filter_texts(docs: DataFrame, judge: Callable[[pa.Array], np.ndarray]) -> Da
     return plain.mapInArrow(run, schema)
 
 
-__all__ = ["BROADCAST_IDS", "bounded_batches", "filter_texts", "has", "new_path", "shared_dir", "stage", "without_ids"]
+__all__ = ["BROADCAST_IDS", "bounded_batches", "drop", "filter_texts", "has", "new_path", "scratch", "shared_dir", "stage", "without_ids"]

@@ -61,6 +61,21 @@ def test_recall_in_deep_tries(spark, monkeypatch):
     assert sum(got.get(a, a) == got.get(b, b) for a, b in pairs) >= 0.9 * len(pairs) > 200
 
 
+def test_dense_subtrees_are_split(spark, monkeypatch):
+    monkeypatch.setattr(nd, "LEAF", 8)
+    monkeypatch.setattr(nd, "SUBTREE", 128)
+    monkeypatch.setattr(nd, "DENSE", 150)
+    rng = random.Random(3)
+    family = words(rng, 80)
+    texts = [" ".join(x if rng.random() > 0.04 else words(rng, 1)[0] for x in family) for _ in range(500)]  # one dense family
+    for _ in range(100):
+        w = words(rng, 60)
+        texts += [" ".join(w), " ".join(x if rng.random() > 0.05 else words(rng, 1)[0] for x in w)]
+    _, pairs = brute(texts)
+    got = dict((r["doc_id"], r["duplicate_of"]) for r in nd.duplicates(frame(spark, texts)).collect())
+    assert sum(got.get(a, a) == got.get(b, b) for a, b in pairs) >= 0.95 * len(pairs) and len({got.get(i, i) for i in range(500)}) == 1
+
+
 def test_components_of_a_chain(spark):
     pairs = spark.createDataFrame([(i + 1, i) for i in range(50)] + [(101, 100)], "v long, u long")
     assert {(r["v"], r["root"]) for r in nd.components(pairs).collect()} == {(i, 0) for i in range(1, 51)} | {(101, 100)}
