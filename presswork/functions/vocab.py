@@ -9,8 +9,11 @@ from collections.abc import Mapping, Sequence
 from functools import lru_cache
 from pathlib import Path
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Vocabulary = Mapping[str, tuple[str, ...]]
 
@@ -51,6 +54,35 @@ def matched_terms(lowered: Column, terms: Sequence[str]) -> Column:
     return F.filter(_terms(terms), lambda _, i: F.contains(lowered, F.get(own, i)))
 
 
+#: Terms up to which each is looked for by an expression; more are one automaton, which reads a text once.
+FEW_TERMS = 200
+
+
+def contained(lowered: Column, terms: Sequence[str]) -> Column:
+    """Those of the distinct lower-case terms that a text in lower case contains, in no order; none for a null text. An empty term is in none."""
+    own = sorted({t for t in terms if t})
+    none = F.array().cast("array<string>")
+    if len(own) <= FEW_TERMS:
+        return F.coalesce(matched_terms(lowered, own), none) if own else none
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def scan(texts: pd.Series) -> pd.Series:
+        machine = _machine(tuple(own))
+        return pd.Series([list({t for _, t in machine.iter(x)}) if x else [] for x in texts], dtype="object")
+
+    return scan(lowered)
+
+
+@lru_cache(maxsize=2)
+def _machine(terms: tuple[str, ...]) -> ahocorasick.Automaton:
+    """One for each worker and list."""
+    out = ahocorasick.Automaton()
+    for t in terms:
+        out.add_word(t, t)
+    out.make_automaton()
+    return out
+
+
 def distinct_terms(lowered: Column, terms: Sequence[str]) -> Column:
     return F.array_distinct(matched_terms(lowered, terms))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from ..functions.text import similar
 from ..functions.vocab import Vocabulary, default_vocabulary, contains_any
 from ..functions import text as tx
 from ..shared import stage, where_computed
-from .select import Rows, fold
+from .select import Rows, fold, ranked
 
 SECTIONS = ("core", "market", "watch", "quick_scan")
 _CJK, _NUMBER = re.compile("[一-鿿]"), re.compile(tx.NUMBER)
@@ -57,21 +58,52 @@ def _pick(kind: str, cap: int, per_source: int | None, before: Sequence[dict], u
 
 
 _PICKED = "ord long, section string, rank int, deal_key string, discussion_key string, title_key string, link string"
+#: Rows of a section that are looked at first for each that it may show; four times as many where these don't fill it, up to MOST rows, beyond which a task folds over all.
+FIRST, MOST = 16, 1 << 16
+
+
+class _Heads:
+    """The first rows of each section in order: one job gives those of all sections, by a top-n in each partition."""
+
+    def __init__(self, narrow: DataFrame, caps: dict[str, int]) -> None:
+        self.parts = {k: narrow.where("quick_scannable" if k == "quick_scan" else F.col("section") == k) for k in caps}
+        self.sizes = {k: FIRST * max(n, 1) for k, n in caps.items()}
+        self.rows: dict[str, list[dict]] = {k: [] for k in caps}
+        self._read(list(caps))
+
+    def _read(self, kinds: list[str]) -> None:
+        if kinds:
+            found = [ranked(self.parts[k], order(), self.sizes[k], "_rank").withColumn("_kind", F.lit(k)) for k in kinds]
+            got: dict[str, list[dict]] = {k: [] for k in kinds}
+            for r in reduce(DataFrame.unionByName, found).collect():  # no more than MOST of each
+                got[r["_kind"]].append(r.asDict())
+            self.rows |= {k: sorted(v, key=lambda r: r["_rank"]) for k, v in got.items()}
+
+    def pick(self, kind: str, cap: int, choose) -> list[dict]:
+        while True:
+            picked = list(choose(iter(self.rows[kind])))
+            if len(picked) >= cap or len(self.rows[kind]) < self.sizes[kind]:
+                return picked
+            if 4 * self.sizes[kind] > MOST:
+                return [r.asDict() for r in fold(self.parts[kind], order(), choose, _PICKED).collect()]  # at most cap rows
+            self.sizes[kind] *= 4
+            self._read([kind])
 
 
 def sections(items: DataFrame, config: ReportConfig, vocabulary: Vocabulary | None = None, entities: bool = True) -> DataFrame:
     """items (ord, title, summary, source, feed_name, feed_role, link, published_at, matched_keywords) that a digest shows, with section and rank.
 
-    Items are scored once; the folds read narrow rows in order and stop when a section is full, and hand on no more than the caps.
+    Items are scored once; of each section the first rows in order are looked at, more of them until it is full, and no more than the caps are shown.
     """
     narrow = where_computed(scored(items, vocabulary, config, entities).select(*_KEYS), F.col("section").isNotNull() | F.col("quick_scannable"))
-    narrow = stage(narrow, "scored")  # four folds read it; as a table it is scored once, and the folds' plans are short
+    narrow = stage(narrow, "scored")  # all sections read it: as a table it is scored once
+    kinds = [("core", config.max_core_events, None), ("market", config.max_market_signals, config.max_market_signals_per_source), ("watch", config.max_watch_items, None)]
+    kinds += [("quick_scan", config.max_quick_scan_items, config.max_quick_scan_items_per_source)] if config.include_quick_scan else []
+    heads = _Heads(narrow, {kind: cap for kind, cap, _ in kinds})
     picked: list[dict] = []
-    for kind, cap, per_source in (("core", config.max_core_events, None), ("market", config.max_market_signals, config.max_market_signals_per_source), ("watch", config.max_watch_items, None)):
-        picked += [r.asDict() for r in fold(narrow.where(F.col("section") == kind), order(), _pick(kind, cap, per_source, list(picked)), _PICKED).collect()]  # at most cap rows
-    if config.include_quick_scan:
-        choose = _pick("quick_scan", config.max_quick_scan_items, config.max_quick_scan_items_per_source, list(picked), {p["link"] for p in picked})
-        picked += [r.asDict() for r in fold(narrow.where("quick_scannable"), order(), choose, _PICKED).collect()]
+    for kind, cap, per_source in kinds:
+        used = {p["link"] for p in picked} if kind == "quick_scan" else frozenset()
+        picked += heads.pick(kind, cap, _pick(kind, cap, per_source, list(picked), used))
     shown = items.sparkSession.createDataFrame([(p["ord"], p["section"], p["rank"]) for p in picked], "_ord long, section string, rank int")
     return items.join(F.broadcast(shown), F.col("ord") == F.col("_ord")).drop("_ord")  # as many rows as the caps allow
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import news as fn
-from ..functions.vocab import Vocabulary, contains_any, default_vocabulary
+from ..functions.vocab import Vocabulary, contained, contains_any, default_vocabulary
 from ..shared import stage, where_computed
 from .select import first_by, ranked, two_caps
 
@@ -66,10 +66,12 @@ def holding_terms(holdings: DataFrame, vocabulary: Vocabulary | None = None) ->
 def holding_matches(found: DataFrame, holdings: DataFrame, limit: int, vocabulary: Vocabulary | None = None) -> DataFrame:
     """(holding_title, holding_ord, rank, insight columns, holding_relation): of each holding and article the first term with a relation, then the best limit.
 
-    A theta join by containment: one row for each holding and term against each article, the holdings being the side that is replicated.
+    A theta join by containment: each text is read once for all distinct terms, and what it holds is joined by the term.
     """
     own = holding_terms(holdings, vocabulary).select(F.col("ord").alias("holding_ord"), "code", "name", "precise", F.posexplode("terms").alias("pos", "term"))
-    pairs = found.join(own, F.contains(F.lower("news_text"), F.lower("term")))
+    terms = [r["t"] for r in own.select(F.lower("term").alias("t")).distinct().collect()]  # a watch list's
+    hits = found.withColumn("_held", contained(F.lower("news_text"), terms)).where(F.size("_held") > 0).withColumn("_hit", F.explode("_held")).drop("_held")
+    pairs = hits.join(own, F.col("_hit") == F.lower("term")).drop("_hit")
     related = pairs.withColumn("holding_relation", fn.holding_relation(F.col("term"), F.col("code"), F.col("name"), F.col("precise"), F.col("score"))).where("holding_relation is not null")
     first = first_by(related, ["holding_ord", "ord"], [F.col("pos")])
     said = first.withColumns({"reason": fn.holding_reason(F.col("reason"), F.col("term"), F.col("holding_relation"), F.col("name")), "holding_title": F.concat_ws(" ", "code", "name")})

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shared import where_computed
+from ..shared import stage, where_computed
 
 Rows = Iterator[dict]
 
@@ -59,8 +59,14 @@ def dedupe_and_cap(df: DataFrame, key: str, feed: str, order: Sequence[Column],
     """First rows of each key over all feeds, and at most cap of each feed, in one pass feed by feed.
 
     A row beyond its feed's cap doesn't claim its key: a later feed may still have it. That is why two windows can't say this. The state is
-    what was picked, at most cap for each feed.
+    what was picked, at most cap for each feed. One task folds over the feeds that share a key with another, the first row of each key in each alone; the other
+    feeds don't meet anybody and are capped by a window. order begins with the feed.
     """
+    firsts = stage(first_by(df, [feed, key], order), "firsts")  # read three times
+    met = firsts.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(key).alias("_key"))
+    shared = firsts.join(met, F.col(key).eqNullSafe(F.col("_key")), "left_semi").select(F.col(feed).alias("_feed")).distinct()
+    apart = firsts.join(shared, F.col(feed).eqNullSafe(F.col("_feed")), "left_anti")
+    df = firsts.join(shared, F.col(feed).eqNullSafe(F.col("_feed")), "left_semi")
 
     def choose(rows: Rows) -> Rows:
         seen, counts = set(), {}
@@ -72,7 +78,7 @@ def dedupe_and_cap(df: DataFrame, key: str, feed: str, order: Sequence[Column],
             counts[f] = counts.get(f, 0) + 1
             yield row
 
-    return fold(df, order, choose, df.schema)
+    return fold(df, order, choose, df.schema).unionByName(at_most(apart, [feed], order, cap))
 
 
 def two_caps(df: DataFrame, identity: Sequence[str], group: str, kind: str, kind_value: str, order: Sequence[Column], group_cap: int, kind_cap: int, limit: int) -> DataFrame:
