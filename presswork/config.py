@@ -49,36 +49,43 @@ class ReportConfig:
     low_value_patterns: Names = _V["config.low_value"]
 
 
+_SWITCH = {word: on for on, words in ((True, "true 1 yes on"), (False, "false 0 no off")) for word in words.split()}
+
+
+class _Refused(ValueError):
+    def __init__(self, name: str, what: str) -> None:
+        super().__init__(f"config.{name} must be {what}")
+
+
 def positive_int(value: Any, default: int, name: str) -> int:
-    if value is None:
-        return default
+    """A whole number from 1 on, given as one or as its digits; the default where nothing is given."""
     try:
-        number = int(value)
-    except (TypeError, ValueError) as error:
-        raise ValueError(f"config.{name} must be an integer") from error
-    if number < 1:
-        raise ValueError(f"config.{name} must be greater than 0")
-    return number
+        whole = default if value is None else int(value)
+    except (TypeError, ValueError):
+        raise _Refused(name, "an integer") from None
+    if value is not None and whole <= 0:
+        raise _Refused(name, "greater than 0")
+    return whole
 
 
 def boolean(value: Any, default: bool, name: str) -> bool:
-    if value is None or isinstance(value, bool):
-        return default if value is None else value
-    word = value.strip().lower() if isinstance(value, str) else ""
-    if word in ("true", "1", "yes", "on"):
-        return True
-    if word in ("false", "0", "no", "off"):
-        return False
-    raise ValueError(f"config.{name} must be a boolean")
+    """True or false, or one of the words for them in any case."""
+    match value:
+        case None:
+            return default
+        case bool():
+            return value
+        case str() if (word := value.strip().lower()) in _SWITCH:
+            return _SWITCH[word]
+    raise _Refused(name, "a boolean")
 
 
 def strings(value: Any, default: tuple[str, ...], name: str) -> tuple[str, ...]:
-    """Trimmed, blanks dropped; the default where nothing is left."""
-    if value is None:
-        return default
-    if not isinstance(value, (list, tuple)):
-        raise ValueError(f"config.{name} must be a list")
-    return tuple(s for s in (str(v).strip() for v in value) if s) or default
+    """The entries of a list without blanks around them, blank ones left out; the default where nothing is left or given."""
+    if not isinstance(value, (list, tuple, type(None))):
+        raise _Refused(name, "a list")
+    trimmed = (str(entry).strip() for entry in value or ())
+    return tuple(entry for entry in trimmed if entry) or default
 
 
 def normalize_config(raw: Any) -> ReportConfig:
