@@ -870,3 +870,5 @@ def q_fuzzy_pairs(spark, sf):
 
 
 __all__ = ["articles", "contains_any", "count_terms", "oracle_sql", "queries"]
+
+from . import catalogue_rows  # noqa: E402, F401 - it registers its queries here
