@@ -20,7 +20,7 @@ from .functions import news as fn
 from .functions import text as tx
 from .functions.digest import Item, scored, with_match_texts
 from .functions.vocab import contains_any, count_terms, default_vocabulary, format_matched, match_keywords, matched_terms
-from .shared import where_computed
+from .shared import spread, where_computed
 from .operators import candidates, curation, digest, health, news, quotes, select, stories
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,7 +46,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df  # the tables with texts, of which much is made
 
 
 # -- vocabulary and article frame
@@ -133,7 +134,7 @@ _A = f"""a0 AS (
     FROM m WHERE {" OR ".join(f"len({c}) > 0" for c in KEYWORDS)}"""
 )
 def q_keyword_match(spark, sf):
-    return gated(spark, sf).where(F.size(F.map_keys("matched_keywords")) > 0).select("ord", format_matched(F.col("matched_keywords")).alias("matched"))
+    return where_computed(gated(spark, sf), F.size(F.map_keys("matched_keywords")) > 0).select("ord", format_matched(F.col("matched_keywords")).alias("matched"))
 
 
 @query(f"""WITH {_A} SELECT ord, CAST({_n(VOCABULARY["market_signal"], "t")} AS INTEGER) AS signals, CAST({_n(VOCABULARY["watch"], "t")} AS INTEGER) AS watched, {_has(CONFIG.low_value_patterns, "cx")} AS low_value FROM a""")

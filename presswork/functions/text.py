@@ -23,8 +23,13 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, _EDGES, "")
 
 
+#: Runs of white space that aren't one space already: most aren't touched.
+_RUNS = rf"(?U) {SPACE}+|[\s\x1c-\x1f&&[^ ]]{SPACE}*"
+
+
 def squeeze(text: Column) -> Column:
-    return strip(F.regexp_replace(text, rf"(?U){SPACE}+", " "))
+    """Each run of Unicode white space as one space, none at either end."""
+    return F.trim(F.regexp_replace(text, _RUNS, " "))
 
 
 @F.pandas_udf(T.StringType())
@@ -39,7 +44,8 @@ def unescape(text: Column) -> Column:
 
 def clean(text: Column, entities: bool = True) -> Column:
     """Tags as spaces, then entities decoded, then white space squeezed: once, since a second pass would strip tags that were entities."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " ")
+    own = F.coalesce(text, F.lit(""))
+    bare = F.when(F.contains(own, F.lit("<")), F.regexp_replace(own, "<[^>]+>", " ")).otherwise(own)
     return squeeze(unescape(bare) if entities else bare)
 
 

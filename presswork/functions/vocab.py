@@ -5,7 +5,7 @@ A term matches where its lower case is contained in the text's lower case: a sub
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import lru_cache
 from pathlib import Path
 
@@ -45,13 +45,18 @@ def _terms(terms: Sequence[str]) -> Column:
     return F.split(F.lit(_PART.join(terms)), _PART) if terms else F.array().cast("array<string>")
 
 
+def _bound(text: Column, say: Callable[[Column], Column]) -> Column:
+    """say(text) with the text computed once: the optimizer may put its expression in place of a column, and within a lambda that would be done for each term."""
+    return F.get(F.transform(F.array(text), say), F.lit(0))
+
+
 def matched_terms(lowered: Column, terms: Sequence[str]) -> Column:
     """The terms found in a text that is in lower case already, in their order, as often as they are listed."""
     lower = [t.lower() for t in terms]
     if lower == list(terms):
-        return F.filter(_terms(terms), lambda t: F.contains(lowered, t))
+        return _bound(lowered, lambda x: F.filter(_terms(terms), lambda t: F.contains(x, t)))
     own = _terms(lower)
-    return F.filter(_terms(terms), lambda _, i: F.contains(lowered, F.get(own, i)))
+    return _bound(lowered, lambda x: F.filter(_terms(terms), lambda _, i: F.contains(x, F.get(own, i))))
 
 
 #: Terms up to which each is looked for by an expression; more are one automaton, which reads a text once.
@@ -93,7 +98,8 @@ def count_terms(lowered: Column, terms: Sequence[str]) -> Column:
 
 
 def contains_any(lowered: Column, terms: Sequence[str]) -> Column:
-    return F.coalesce(F.exists(_terms(list(dict.fromkeys(t.lower() for t in terms))), lambda t: F.contains(lowered, t)), F.lit(False))
+    own = _terms(list(dict.fromkeys(t.lower() for t in terms)))
+    return F.coalesce(_bound(lowered, lambda x: F.exists(own, lambda t: F.contains(x, t))), F.lit(False))
 
 
 def first_term(terms: Column) -> Column:

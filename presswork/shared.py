@@ -74,6 +74,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a file that is likely to be one row group, which no scan divides.
+ROW_GROUP_BYTES = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it is read from fewer files than there are cores, none of them larger than a row group.
+
+    Such a file is one task's work however much there is to do with its rows, so that moving them pays: no more than a row group for each core. A large
+    table has more files, or larger ones that are read in parts, and stays where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if 0 < files < cores and size <= files * ROW_GROUP_BYTES else df
+
+
 def where_computed(df: DataFrame, condition: Column) -> DataFrame:
     """df where a condition on computed columns holds, without computing these twice.
 
